@@ -73,7 +73,7 @@ per_window(
 )
 OBV_SQL = BASE_SQL + """,
 obv AS (SELECT *, sum(coalesce(sign(lr) * volume, 0)) OVER (PARTITION BY symbol ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS obv FROM base)"""
-per_window("obv_slope", X.volume, ["obv_slope_{w}"], [lambda w: f"(obv - lag(obv, {w}) OVER {SYM}) / {w}"], digits=2, source="obv", ctes=OBV_SQL)
+per_window("obv_slope", X.volume, ["obv_slope_{w}"], [lambda w: f"(obv - lag(obv, {w}) OVER {SYM}) / {w}"], digits=6, source="obv", ctes=OBV_SQL)
 VWAP = lambda w: full("dollar", w, f"sum(dollar) OVER {back(w)} / (sum(volume) OVER {back(w)} + 1e-8)")
 per_window(
     "vwap", X.volume, ["vwap_{w}", "price_to_vwap_{w}"], [VWAP, lambda w: f"close / (({VWAP(w)}) + 1e-8) - 1"],
@@ -189,10 +189,10 @@ register(
 )
 register(
     "sax_symbol",
-    lambda s, d: out(X.with_sax(core_rows(X.shape(framed(s, d, 21)))), ("sax_symbol",), return_zscore=5),
+    lambda s, d: out(X.with_sax(core_rows(X.shape(framed(s, d, 21)))), sax_symbol=0, return_zscore=5),
     f"""WITH {BASE_SQL}, z AS (SELECT *, {full('lr', 20, f'(lr - avg(lr) OVER {back(20)}) / (stddev_samp(lr) OVER {back(20)} + 1e-8)')} AS z FROM base),
     m AS (SELECT *, min(z) OVER (PARTITION BY symbol) AS lo, max(z) OVER (PARTITION BY symbol) AS hi FROM z)
-    SELECT {KEY}, {r('z', 'return_zscore', 5)}, CAST(greatest(0, least(9, ceil((z - lo) / ((hi - lo) / 10)) - 1)) + 0 * z AS BIGINT) AS sax_symbol FROM m""",
+    SELECT {KEY}, {r('z', 'return_zscore', 5)}, CAST(greatest(0, least(9, ceil((z - lo) / ((hi - lo) / 10)) - 1)) + 0 * z AS DOUBLE) AS sax_symbol FROM m""",
 )
 VOLW = lambda w: full("lr", w, f"stddev_samp(lr) OVER {back(w)}", half(w))
 per_window(
@@ -219,9 +219,9 @@ register(
 DAYS = (20, 40, 60)
 register(
     "days_since_extreme",
-    lambda s, d: out(core_rows(X.timing(framed(s, d, 80))), tuple(f"days_since_{x}_{w}" for x in ("high", "low") for w in DAYS)),
+    lambda s, d: out(core_rows(X.timing(framed(s, d, 80))), **{f"days_since_{x}_{w}": 0 for x in ("high", "low") for w in DAYS}),
     f"WITH {BASE_SQL} SELECT {KEY}, " + ", ".join(
-        f"CASE WHEN rn >= {w} THEN CAST({w} - list_position(list({x}) OVER {back(w)}, {f}({x}) OVER {back(w)}) AS BIGINT) END AS days_since_{x}_{w}"
+        f"CASE WHEN rn >= {w} THEN CAST({w} - list_position(list({x}) OVER {back(w)}, {f}({x}) OVER {back(w)}) AS DOUBLE) END AS days_since_{x}_{w}"
         for x, f in (("high", "max"), ("low", "min")) for w in DAYS) + " FROM base",
 )
 register(

@@ -121,9 +121,9 @@ register(
 register(
     "interpolate",
     lambda s, d: out(Q.interpolate(dirty(s, d), ("close",)), **FILLED),
-    f"""WITH {DIRTY_SQL}, m AS (SELECT *, CASE WHEN close IS NOT NULL THEN rn END AS at FROM dirty),
-    e AS (SELECT *, max(at) OVER (PARTITION BY symbol ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pa,
-      min(at) OVER (PARTITION BY symbol ORDER BY rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS na FROM m),
+    f"""WITH {DIRTY_SQL}, m AS (SELECT *, CASE WHEN close IS NOT NULL THEN rn END AS pos FROM dirty),
+    e AS (SELECT *, max(pos) OVER (PARTITION BY symbol ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pa,
+      min(pos) OVER (PARTITION BY symbol ORDER BY rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS na FROM m),
     j AS (SELECT e.*, p.close AS pv, q.close AS nv FROM e LEFT JOIN dirty p ON p.symbol = e.symbol AND p.rn = e.pa
       LEFT JOIN dirty q ON q.symbol = e.symbol AND q.rn = e.na)
     SELECT {KEY}, {r('high', 'high')}, {r('''CASE WHEN close IS NOT NULL THEN close WHEN rn - pa > 5 THEN NULL

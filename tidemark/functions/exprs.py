@@ -41,8 +41,21 @@ def rolling(fn, c: str | Column, k: int, needed: int | None = None) -> Column:
     return enough(c, k, fn(col(c)).over(back(k)), needed)
 
 
+def sorted_quantile(a: Column, q: float) -> Column:
+    """Linear-interpolated quantile of a sorted array; null when it is empty."""
+    at = (F.size(a) - 1) * q
+    low = F.floor(at).cast("int")
+    x, y = F.get(a, low), F.get(a, F.ceil(at).cast("int"))
+    return x + (y - x) * (at - low)
+
+
+def sorted_over(c: str, frame) -> Column:
+    """Sorted values of a frame: much cheaper than an exact percentile per row."""
+    return F.sort_array(F.collect_list(c).over(frame))
+
+
 def median_over(c: str, frame) -> Column:
-    return F.percentile(F.col(c), F.lit(0.5)).over(frame)
+    return sorted_quantile(sorted_over(c, frame), 0.5)
 
 
 def ratio(a, b) -> Column:

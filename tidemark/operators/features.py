@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.config import FeatureConfig
-from tidemark.functions.exprs import EPS, SHARD, back, enough, flag, lag, median_over, ratio, rolling, rows
+from tidemark.functions.exprs import EPS, back, enough, flag, lag, median_over, ratio, rolling, rows
 from tidemark.operators.frame import SIZE, core_rows, ema, streak, with_halo
 from tidemark.operators.quality import atr, with_returns_and_range
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.session import cut
+
 SIZE = 2048
 FAN = 1024
 
@@ -109,14 +111,17 @@ def frame(bars: DataFrame, before: int = 0, after: int = 0, size: int = SIZE, gr
 
 def running(
     df: DataFrame, folds: dict[str, tuple[str, Column]], reverse: bool = False, size: int = SIZE,
-    keys: tuple[str, ...] = ("symbol",),
+    keys: tuple[str, ...] = ("symbol",), stored: bool = False,
 ) -> DataFrame:
     """Unbounded running folds (``sum``, ``max``, ``min``, ``last``) over rows with ``rn``.
 
     Each shard folds its own rows; shard totals are chained with :func:`prefix`, so no
     task sees a whole series. ``last`` carries the latest non-null value (the next one with
-    ``reverse``).
+    ``reverse``). The input is read twice; ``stored`` writes it out first, which chained
+    scans need so that their inputs are not recomputed 2, 4, 8 times.
     """
+    if stored:
+        df = cut(df)
     ks = list(keys)
     rn = F.col("rn")
     kinds, exprs = {}, {}

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.config import QualityConfig
-from tidemark.functions.exprs import EPS, SHARD, back, lag, ratio
+from tidemark.functions.exprs import EPS, back, lag, ratio, sorted_over, sorted_quantile
 from tidemark.operators.frame import SIZE, core_rows, position, running, with_halo
+from tidemark.session import cut
 from tidemark.sources.bars import PRICES, date_range
 
 VALUES = (*PRICES, "volume")
@@ -147,13 +148,16 @@ def normalized(c: str, method: str, window: int) -> Column:
         low = F.min(x).over(w)
         return (x - low) / (F.max(x).over(w) - low + EPS)
     if method == "robust":
-        q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).over(w)
+        q = [sorted_quantile(F.col(f"_sorted_{c}"), p) for p in (0.25, 0.5, 0.75)]
         return (x - q[1]) / (q[2] - q[0] + EPS)
     raise ValueError(f"unknown method {method}")
 
 
 def normalize(framed: DataFrame, method: str = "zscore", window: int = 252, columns: tuple[str, ...] = PRICES) -> DataFrame:
-    return framed.withColumns({f"{c}_norm": normalized(c, method, window) for c in columns})
+    helpers = [f"_sorted_{c}" for c in columns] if method == "robust" else []
+    if helpers:
+        framed = framed.withColumns({f"_sorted_{c}": sorted_over(c, back(window)) for c in columns})
+    return framed.withColumns({f"{c}_norm": normalized(c, method, window) for c in columns}).drop(*helpers)
 
 
 def calendar(df: DataFrame) -> DataFrame:
@@ -190,9 +194,10 @@ def validate(bars: DataFrame, config: QualityConfig = QualityConfig()) -> DataFr
 def clean(bars: DataFrame, config: QualityConfig = QualityConfig(), method: str = "forward_fill", size: int = SIZE) -> DataFrame:
     """Validated, flagged and filled rows with ``rn`` and ``n``.
 
-    Forward filling carries the flags' return and gap too, as it fills every column.
+    Forward filling carries the flags' return and gap too, as it fills every column. The
+    rows are written twice on the way: every later step reads its input more than once.
     """
-    flagged = flag_outliers(position(validate(bars, config), size=size), config, size)
+    flagged = cut(flag_outliers(cut(position(validate(bars, config), size=size)), config, size))
     if method == "forward_fill":
         return forward_fill(flagged, (*VALUES, "return", "gap"), size)
     if method == "interpolate":
@@ -214,7 +219,7 @@ def preprocess(bars: DataFrame, config: QualityConfig = QualityConfig(), size: i
 
 def metadata(bars: DataFrame, config: QualityConfig = QualityConfig(), size: int = SIZE) -> DataFrame:
     """One row per symbol about the preprocessed bars; every input row is kept by forward fill."""
-    flagged = flag_outliers(position(validate(bars, config), size=size), config, size)
+    flagged = flag_outliers(cut(position(validate(bars, config), size=size)), config, size)
     return flagged.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("n_rows_initial"),
         F.min("ts").alias("first_ts"),
