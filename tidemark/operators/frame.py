@@ -198,3 +198,29 @@ def ema(df: DataFrame, source: str, spans: dict[str, int], needed: dict[str, int
         y = F.col(f"_l_{name}") + F.pow(F.lit(1 - 2.0 / (span + 1)), F.col("_pos") + 1) * carry
         out.append(F.when(F.col("rn") >= needed.get(name, 1), y).alias(name))
     return joined.select(*df.columns, *out)
+
+
+def grouped_quantile(df: DataFrame, keys: list[str], value: str, q: float, name: str, partitions: int | None = None) -> DataFrame:
+    """Exact interpolated quantile per group without collecting a group.
+
+    Values are reduced to counts, range-partitioned by group and value, and the blocks' counts
+    are chained, so a group of any size spreads over many tasks.
+    """
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = cut(counted.repartitionByRange(n, *keys, value).withColumn("_blk", F.spark_partition_id()))
+    totals = blocks.groupBy(*keys, "_blk").agg(F.sum("_c").alias("_off"))
+    offsets = prefix(totals, keys, "_blk", {"_off": "sum"}, grand=True)
+    upto = Window.partitionBy(*keys, "_blk").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    placed = blocks.withColumn("_run", F.sum("_c").over(upto)).join(offsets, [*keys, "_blk"])
+    last = F.col("_off") + F.col("_run")
+    first = last - F.col("_c")
+    at = (F.col("_off_all") - 1) * q
+    low, high = F.floor(at), F.ceil(at)
+
+    def holds(i: Column) -> Column:
+        return F.max(F.when((first <= i) & (i < last), F.col(value)))
+
+    return placed.groupBy(*keys).agg(
+        holds(low).alias("_x"), holds(high).alias("_y"), F.max(at - low).alias("_w")
+    ).select(*keys, (F.col("_x") + (F.col("_y") - F.col("_x")) * F.col("_w")).alias(name))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions.exprs import EPS, lag, ratio
-from tidemark.operators.frame import SIZE, core_rows, running, with_halo
+from tidemark.operators.frame import SIZE, core_rows, grouped_quantile, running, with_halo
+from tidemark.session import cut
 
 
 def regime_statistics(df: DataFrame, c: str = "market_regime", size: int = SIZE) -> DataFrame:
@@ -55,13 +56,14 @@ def run_lengths(df: DataFrame, c: str, size: int = SIZE) -> DataFrame:
 
 
 def regime_durations(df: DataFrame, c: str = "market_regime", size: int = SIZE) -> DataFrame:
-    return run_lengths(df, c, size).groupBy("symbol", c).agg(
+    runs = cut(run_lengths(df, c, size))
+    stats = runs.groupBy("symbol", c).agg(
         F.avg("rows").alias("mean"),
-        F.percentile("rows", F.lit(0.5)).alias("median"),
         F.stddev_pop("rows").alias("std"),
         F.min("rows").alias("min"),
         F.max("rows").alias("max"),
     )
+    return stats.join(grouped_quantile(runs, ["symbol", c], "rows", 0.5, "median"), ["symbol", c])
 
 
 def drawdown(df: DataFrame, c: str = "close", size: int = SIZE) -> DataFrame:
