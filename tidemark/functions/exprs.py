@@ -6,8 +6,10 @@ from pyspark.sql import Column, Window, functions as F
 
 EPS = 1e-8
 
-#: The window of one shard (see operators/frame.py): bounded, ordered by position.
-SHARD = Window.partitionBy("symbol", "shard").orderBy("rn")
+
+def shard_window():
+    """The window of one shard (see operators/frame.py): bounded, ordered by position."""
+    return Window.partitionBy("symbol", "shard").orderBy("rn")
 
 
 def col(c: str | Column) -> Column:
@@ -16,19 +18,19 @@ def col(c: str | Column) -> Column:
 
 def back(k: int):
     """The current row and the k-1 before it."""
-    return SHARD.rowsBetween(1 - k, 0)
+    return shard_window().rowsBetween(1 - k, 0)
 
 
 def rows(first: int, last: int):
-    return SHARD.rowsBetween(first, last)
+    return shard_window().rowsBetween(first, last)
 
 
 def lag(c: str | Column, k: int = 1) -> Column:
-    return F.lag(col(c), k).over(SHARD)
+    return F.lag(col(c), k).over(shard_window())
 
 
 def lead(c: str | Column, k: int = 1) -> Column:
-    return F.lead(col(c), k).over(SHARD)
+    return F.lead(col(c), k).over(shard_window())
 
 
 def enough(c: str | Column, k: int, expr: Column, needed: int | None = None) -> Column:

@@ -130,7 +130,7 @@ def nearest(windows: DataFrame, m: int, k: int = 1, apart: int = 0) -> DataFrame
         .select(*[F.col(c).alias(f"{c}_r") for c in (*keys, "rn", "z")])
     )
 
-    def tile(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def tile(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"symbol": [], "rn": [], "distance": [], "other": []})
         d, w = _best(np.vstack(a["z"].values), a["rn"].values, np.vstack(b["z_r"].values), b["rn_r"].values, k, apart)
