@@ -97,3 +97,34 @@ register(
 )
 register("wavelet_power", lambda s, d: out(V.scale_power(series(s, d)), ("scale",), keys=("symbol",), avg_power=5))
 register("wavelet_scales", lambda s, d: out(V.dominant_scales(cut(V.scale_power(series(s, d)))), ("scale",), keys=("symbol",), avg_power=5))
+
+
+def _states(s, d):
+    from tidemark.operators import hidden_states as H
+
+    return H.regimes(placed(s, d))
+
+
+register("hidden_states", lambda s, d: out(_states(s, d)["states"], ("state",), keys=("symbol", "ts", "regime"), mean_return=6, mean_volatility=6))
+register("hidden_state_parameters", lambda s, d: out(_states(s, d)["parameters"].withColumn("stay", F.get("transition", F.col("state"))), ("state",), keys=("symbol",), mean_return=6, mean_volatility=6, stay=6))
+
+
+def _named(s, d):
+    """Naming alone: the state is the rule regime's zone, which SQL can derive too."""
+    from tidemark.operators import hidden_states as H
+
+    obs = cut(H.observations(placed(s, d)))
+    states = obs.select("symbol", "rn", (F.weekday("ts") % 3).cast("int").alias("state"))
+    return H.name_states(states, obs)
+
+
+register(
+    "name_states",
+    lambda s, d: out(_named(s, d), ("state",), keys=("symbol", "ts", "regime"), mean_return=7, mean_volatility=6),
+    f"""WITH {BARS_SQL}, l AS (SELECT *, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY rn)) AS lr FROM placed),
+    o AS (SELECT *, CASE WHEN count(lr) OVER w >= 20 THEN stddev_samp(lr) OVER w END AS vol, (isodow(ts) - 1) % 3 AS state FROM l WINDOW w AS (PARTITION BY symbol ORDER BY rn ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+    k AS (SELECT * FROM o WHERE lr IS NOT NULL AND vol IS NOT NULL),
+    m AS (SELECT symbol, state, avg(lr) AS mr, avg(vol) AS mv FROM k GROUP BY symbol, state),
+    q AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY mr) AS place FROM m)
+    SELECT k.symbol, CAST(ts AS VARCHAR) AS ts, ['bear', 'sideways', 'bull'][place] AS regime, CAST(state AS BIGINT) AS state, {r('mr', 'mean_return', 7)}, {r('mv', 'mean_volatility')} FROM k JOIN q USING (symbol, state)""",
+)

@@ -23,8 +23,11 @@ def _shape(n: int) -> tuple[int, int, int]:
 def _chirp(t: np.ndarray, n: int) -> np.ndarray:
     """exp(-i*pi*t^2/n), with the square reduced first to keep its precision."""
     t = np.asarray(t, dtype=np.int64) % (2 * n)
-    square = np.array([(int(x) * int(x)) % (2 * n) for x in t], dtype=float)
-    return np.exp(-1j * np.pi * square / n)
+    if 2 * n < 3_000_000_000:  # squares fit in 64 bits
+        square = (t * t) % (2 * n)
+    else:
+        square = np.array([(int(x) * int(x)) % (2 * n) for x in t])
+    return np.exp(-1j * np.pi * square.astype(float) / n)
 
 
 def _twist(a: int, b: np.ndarray, m: int, sign: int) -> np.ndarray:
