@@ -200,11 +200,12 @@ def ema(df: DataFrame, source: str, spans: dict[str, int], needed: dict[str, int
     return joined.select(*df.columns, *out)
 
 
-def grouped_quantile(df: DataFrame, keys: list[str], value: str, q: float, name: str, partitions: int | None = None) -> DataFrame:
+def grouped_quantile(df: DataFrame, keys: list[str], value: str, q: float, name: str, partitions: int | None = None, by_count: bool = False) -> DataFrame:
     """Exact interpolated quantile per group without collecting a group.
 
     Values are reduced to counts, range-partitioned by group and value, and the blocks' counts
-    are chained, so a group of any size spreads over many tasks.
+    are chained, so a group of any size spreads over many tasks. ``by_count`` returns the value
+    at position floor(count * q) instead of interpolating.
     """
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -215,7 +216,7 @@ def grouped_quantile(df: DataFrame, keys: list[str], value: str, q: float, name:
     placed = blocks.withColumn("_run", F.sum("_c").over(upto)).join(offsets, [*keys, "_blk"])
     last = F.col("_off") + F.col("_run")
     first = last - F.col("_c")
-    at = (F.col("_off_all") - 1) * q
+    at = F.floor(F.col("_off_all") * q) if by_count else (F.col("_off_all") - 1) * q
     low, high = F.floor(at), F.ceil(at)
 
     def holds(i: Column) -> Column:
