@@ -1,8 +1,8 @@
 """Rolling features. Each family adds columns to a framed table (see frame.py).
 
 Families only use bounded frames, so one shuffle by (symbol, shard) serves all of them and
-Catalyst prunes whatever a query does not select. The two recursive features (EMA, MACD)
-and the run lengths are scans and are added by :func:`with_scans`.
+Catalyst prunes whatever a query does not select. The recursive features (EMA, MACD), the
+run lengths and whatever looks at a whole series come from :func:`scans`.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from tidemark.config import FeatureConfig
 from tidemark.functions.exprs import EPS, back, enough, flag, lag, median_over, ratio, rolling, rows
 from tidemark.operators.frame import SIZE, core_rows, ema, streak, with_halo
 from tidemark.operators.quality import atr, with_returns_and_range
+from tidemark.session import cut
 
 #: Longest chain of frames: 252-row rank of a 20-row deviation of a one-row return.
 WARMUP = 252 + 20 + 1
@@ -166,27 +167,27 @@ def shape(df: DataFrame, config: FeatureConfig = FeatureConfig()) -> DataFrame:
             f"shape_curvature_{w}": enough(
                 c, w, F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
             ),
-            "return_zscore": enough(
-                "log_return",
-                w,
-                (F.col("log_return") - F.avg("log_return").over(frame))
-                / (F.stddev_samp("log_return").over(frame) + EPS),
-            ),
+            "return_zscore": return_zscore(w),
         }
     )
 
 
-def with_sax(df: DataFrame, bins: int = 10) -> DataFrame:
-    """Equal-width, right-closed bins over the whole series' extremes. Takes core rows."""
-    span = df.groupBy("symbol").agg(
-        F.min("return_zscore").alias("_lo"), F.max("return_zscore").alias("_hi")
-    )
+def sax_extremes(df: DataFrame) -> DataFrame:
+    return df.groupBy("symbol").agg(F.min("return_zscore").alias("_lo"), F.max("return_zscore").alias("_hi"))
+
+
+def sax_symbol(bins: int) -> Column:
     x, lo, hi = F.col("return_zscore"), F.col("_lo"), F.col("_hi")
     # A series without spread is widened by a thousandth on both sides, as binning does.
     pad = F.when(hi == lo, F.when(lo == 0, F.lit(0.001)).otherwise(F.abs(lo) * 0.001)).otherwise(0.0)
     width = (hi - lo + 2 * pad) / bins
     symbol = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.ceil((x - lo + pad) / width) - 1))
-    return df.join(span, "symbol").withColumn("sax_symbol", F.when(x.isNotNull(), symbol.cast("int"))).drop("_lo", "_hi")
+    return F.when(x.isNotNull(), symbol.cast("int"))
+
+
+def with_sax(df: DataFrame, bins: int = 10) -> DataFrame:
+    """Equal-width, right-closed bins over the whole series' extremes. Takes core rows."""
+    return df.join(sax_extremes(df), "symbol").withColumn("sax_symbol", sax_symbol(bins)).drop("_lo", "_hi")
 
 
 def risk_adjusted(df: DataFrame, config: FeatureConfig = FeatureConfig()) -> DataFrame:
@@ -199,43 +200,45 @@ def risk_adjusted(df: DataFrame, config: FeatureConfig = FeatureConfig()) -> Dat
     )
 
 
-def divergence_parts(df: DataFrame) -> DataFrame:
+def divergence_parts(df: DataFrame, causal: bool = False) -> DataFrame:
     """Per-row trend and volume means the divergence flags compare."""
     out = {}
     for w in (10, 20):
         first = lag("close", w - 1)
         out[f"_trend_{w}"] = enough("close", w, F.when(F.col("close") > first, 1).otherwise(-1))
         out[f"_vmean_{w}"] = rolling(F.avg, "volume", w)
-        out[f"_vlong_{w}"] = rolling(F.avg, "volume", 2 * w)
+        if causal:
+            out[f"_bench_{w}"] = rolling(F.avg, "volume", 2 * w)
     return df.withColumns(out)
 
 
-def with_divergence(df: DataFrame, causal: bool = False) -> DataFrame:
-    """Does the volume trend contradict the price trend? Takes core rows with the parts.
+def volume_benchmarks(df: DataFrame) -> DataFrame:
+    """Mean volume of the last 2w rows of each series, where all of them are known."""
+
+    def bench(w: int) -> Column:
+        late = F.when(F.col("rn") > F.col("n") - 2 * w, F.col("volume"))
+        return F.when(F.count(late) == 2 * w, F.avg(late)).alias(f"_bench_{w}")
+
+    return df.groupBy("symbol").agg(bench(10), bench(20))
 
-    By default the volume benchmark is the mean of the final 2w rows of the series, so it
-    looks ahead; ``causal`` compares with the mean of the 2w rows up to the current one.
-    Rows without a full frame count as diverging.
+
+def divergence(df: DataFrame) -> DataFrame:
+    """Does the volume trend contradict the price trend? Needs parts and benchmarks.
+
+    The standard benchmark is the end of the series, so it looks ahead; the causal one is the
+    mean of the 2w rows up to the current one. Rows without a full frame count as diverging.
     """
-    if not causal:
-        ends = df.groupBy("symbol").agg(
-            *[
-                F.max(F.when(F.col("rn") == F.col("n"), F.col(f"_vlong_{w}"))).alias(f"_bench_{w}")
-                for w in (10, 20)
-            ]
-        )
-        df = df.join(ends, "symbol")
     out = {}
     for w in (10, 20):
-        bench = F.col(f"_vlong_{w}" if causal else f"_bench_{w}")
-        trend = F.when(
-            F.col(f"_vmean_{w}").isNotNull(),
-            F.when(F.coalesce(F.col(f"_vmean_{w}") > bench, F.lit(False)), 1).otherwise(-1),
-        )
-        out[f"price_volume_divergence_{w}"] = F.coalesce(
-            (F.col(f"_trend_{w}") != trend).cast("int"), F.lit(1)
-        )
-    return df.withColumns(out).drop(*[f"{p}_{w}" for w in (10, 20) for p in ("_trend", "_vmean", "_vlong", "_bench")])
+        above = F.coalesce(F.col(f"_vmean_{w}") > F.col(f"_bench_{w}"), F.lit(False))
+        trend = F.when(F.col(f"_vmean_{w}").isNotNull(), F.when(above, 1).otherwise(-1))
+        out[f"price_volume_divergence_{w}"] = F.coalesce((F.col(f"_trend_{w}") != trend).cast("int"), F.lit(1))
+    return df.withColumns(out).drop(*[f"{p}_{w}" for w in (10, 20) for p in ("_trend", "_vmean", "_bench")])
+
+
+def with_divergence(df: DataFrame) -> DataFrame:
+    """Flags for core rows that have the parts: joins the series' benchmarks."""
+    return divergence(df.join(volume_benchmarks(df), "symbol"))
 
 
 def timing(df: DataFrame) -> DataFrame:
@@ -266,17 +269,45 @@ def streaks(df: DataFrame, size: int = SIZE) -> DataFrame:
     )
 
 
-def exponential(df: DataFrame, config: FeatureConfig = FeatureConfig()) -> DataFrame:
+def exponential(df: DataFrame, config: FeatureConfig = FeatureConfig(), more: dict[str, int] | None = None) -> DataFrame:
     spans = {f"ema_{w}": w for w in config.windows}
-    return ema(df, "close", spans, {f"ema_{w}": max(1, w // 2) for w in config.windows})
+    return ema(df, "close", {**spans, **(more or {})}, {f"ema_{w}": max(1, w // 2) for w in config.windows})
+
+
+MACD_SPANS = {"_fast": 12, "_slow": 26}
 
 
 def macd(df: DataFrame) -> DataFrame:
-    df = ema(df, "close", {"_fast": 12, "_slow": 26}).withColumn("macd", F.col("_fast") - F.col("_slow"))
-    df = ema(df.drop("_fast", "_slow"), "macd", {"macd_signal": 9})
+    """Difference of two exponential means and its own smoothing; reuses the means if present."""
+    if "_fast" not in df.columns:
+        df = ema(df, "close", MACD_SPANS)
+    df = df.withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
+    df = ema(df, "macd", {"macd_signal": 9})
     return df.withColumn("macd_histogram", F.col("macd") - F.col("macd_signal"))
 
 
+def return_zscore(w: int) -> Column:
+    x, frame = F.col("log_return"), back(w)
+    return enough(x, w, (x - F.avg(x).over(frame)) / (F.stddev_samp(x).over(frame) + EPS))
+
+
+def scans(positioned: DataFrame, config: FeatureConfig = FeatureConfig(), size: int = SIZE) -> DataFrame:
+    """Whole-series features on the few base columns, before anything is widened.
+
+    Scans and per-series statistics read their input more than once. Doing them first, on a
+    stored narrow table, keeps the wide rolling plan a single pass.
+    """
+    framed = with_halo(positioned, before=config.shape_window + 1, size=size)
+    framed = with_returns_and_range(framed).withColumn("return_zscore", return_zscore(config.shape_window))
+    narrow = cut(core_rows(framed).drop("true_range"))
+    out = macd(exponential(streaks(narrow, size), config, MACD_SPANS))
+    if config.use_shapes and config.sax_bins > 0:
+        out = out.join(sax_extremes(narrow), "symbol").withColumn("sax_symbol", sax_symbol(config.sax_bins)).drop("_lo", "_hi")
+    if config.use_volume and not config.causal_divergence:
+        out = out.join(volume_benchmarks(narrow), "symbol")
+    return out.drop("return_zscore")
+
+
 def bounded_features(framed: DataFrame, config: FeatureConfig = FeatureConfig()) -> DataFrame:
     df = price(base(framed), config)
     if config.use_volume:
@@ -284,21 +315,17 @@ def bounded_features(framed: DataFrame, config: FeatureConfig = FeatureConfig())
     df = multiscale(local_extrema(structure(df, config)), config)
     if config.use_shapes:
         df = shape(df, config)
-    return timing(divergence_parts(risk_adjusted(df, config)))
-
-
-def with_scans(df: DataFrame, config: FeatureConfig = FeatureConfig(), size: int = SIZE) -> DataFrame:
-    df = macd(exponential(streaks(df, size), config))
-    if config.use_shapes:
-        df = with_sax(df, config.sax_bins)
-    return with_divergence(df, config.causal_divergence)
+    df = risk_adjusted(df, config)
+    if config.use_volume:
+        df = divergence(divergence_parts(df, config.causal_divergence))
+    return timing(df)
 
 
 def features(positioned: DataFrame, config: FeatureConfig = FeatureConfig(), size: int = SIZE) -> DataFrame:
     """All feature columns for clean rows with ``rn`` and ``n``."""
     warmup = max(WARMUP, 2 * max(config.windows) + 1)
-    framed = with_halo(positioned, before=warmup, after=5, size=size)
-    return with_scans(core_rows(bounded_features(framed, config)), config, size)
+    framed = with_halo(scans(positioned, config, size), before=warmup, after=5, size=size)
+    return core_rows(bounded_features(framed, config))
 
 
 def feature_names(config: FeatureConfig = FeatureConfig()) -> list[str]:
@@ -321,7 +348,8 @@ def feature_names(config: FeatureConfig = FeatureConfig()) -> list[str]:
         if config.sax_bins > 0:
             names += ["sax_symbol"]
     names += [f"risk_adjusted_return_{w}" for w in (5, 10, 20) if w in config.windows]
-    names += [f"price_volume_divergence_{w}" for w in (10, 20)]
+    if config.use_volume:
+        names += [f"price_volume_divergence_{w}" for w in (10, 20)]
     names += [f"days_since_{s}_{w}" for s in ("high", "low") for w in (20, 40, 60)]
     names += [f"autocorr_lag_{k}" for k in (1, 5, 10, 20)]
     return names

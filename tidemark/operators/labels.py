@@ -8,6 +8,7 @@ from tidemark.config import LabelConfig
 from tidemark.functions.exprs import back, enough, flag, lag, lead, ratio, rows, sorted_quantile
 from tidemark.operators.frame import SIZE, core_rows, running, with_halo
 from tidemark.operators.quality import atr, with_returns_and_range
+from tidemark.session import cut
 
 
 def base(framed: DataFrame) -> DataFrame:
@@ -156,11 +157,14 @@ def momentum_burst(df: DataFrame) -> DataFrame:
     )
 
 
+def burst() -> Column:
+    return (F.col("_burst") & (F.col("_surge") | ~F.col("_has"))).cast("int")
+
+
 def with_burst(df: DataFrame) -> DataFrame:
     """Volume confirms only where the series has a volume median at all. Takes core rows."""
     has = df.groupBy("symbol").agg((F.count("_vm") > 0).alias("_has"))
-    hit = F.col("_burst") & (F.col("_surge") | ~F.col("_has"))
-    return df.join(has, "symbol").withColumn("momentum_burst", hit.cast("int")).drop("_vm", "_burst", "_surge", "_has")
+    return df.join(has, "symbol").withColumn("momentum_burst", burst()).drop("_vm", "_burst", "_surge", "_has")
 
 
 def v_reversal(df: DataFrame, w: int = 10) -> DataFrame:
@@ -182,16 +186,23 @@ def mark_changes(df: DataFrame, c: str = "market_regime") -> DataFrame:
 
 
 def labels(positioned: DataFrame, config: LabelConfig = LabelConfig(), compat: bool = False, size: int = SIZE) -> DataFrame:
-    """All labels keyed by (symbol, ts) for clean rows with ``rn`` and ``n``."""
+    """All labels keyed by (symbol, ts) for clean rows with ``rn`` and ``n``.
+
+    Regimes and their run lengths, and whether a series has volume, are settled first on the
+    narrow rows; the forward-looking frames then take one pass.
+    """
+    early = with_halo(positioned.select("symbol", "ts", "rn", "n", "open", "high", "low", "close", "volume"), before=config.regime_rows + 1, size=size)
+    early = cut(core_rows(mark_changes(regime(early, config)).withColumn("_v20", enough("volume", 20, F.lit(1)))))
+    has = early.groupBy("symbol").agg((F.count("_v20") > 0).alias("_has"))
+    early = days_in_regime(early, size).drop("_v20").join(has, "symbol")
     ahead = max(*config.horizons, config.false_window, config.reversal_window)
-    before = max(config.max_days + 14 + 1, config.regime_rows + 1) + 1
-    df = base(with_halo(positioned, before=before, after=ahead, size=size))
+    before = max(config.max_days + 14 + 1, 2 * config.reversal_window, 22)
+    df = base(with_halo(early, before=before, after=ahead, size=size))
     for h in config.horizons:
         df = move(df, h, config, compat)
-    df = v_reversal(momentum_burst(mark_changes(regime(reversal(consolidation(df, config), config), config))))
-    df = days_in_regime(with_burst(core_rows(df)), size)
-    keep = ["symbol", "ts", *label_columns(config)["all_outputs"]]
-    return df.select(*keep)
+    df = v_reversal(momentum_burst(reversal(consolidation(df, config), config)))
+    df = core_rows(df).withColumn("momentum_burst", burst())
+    return df.select("symbol", "ts", *label_columns(config)["all_outputs"])
 
 
 def label_columns(config: LabelConfig = LabelConfig()) -> dict[str, list[str]]:
