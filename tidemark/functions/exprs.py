@@ -65,6 +65,15 @@ def ratio(a, b) -> Column:
     return F.try_divide(col(a), col(b))
 
 
+def correlation(x: str, y: str, frame) -> Column:
+    """Correlation of two columns that are null together; null without spread.
+
+    The built-in one divides by the spread, which raises on a constant frame.
+    """
+    spread = F.stddev_pop(x).over(frame) * F.stddev_pop(y).over(frame)
+    return F.try_divide(F.covar_pop(x, y).over(frame), spread)
+
+
 def flag(condition: Column) -> Column:
     """0/1 with null counted as false."""
     return F.coalesce(condition, F.lit(False)).cast("int")

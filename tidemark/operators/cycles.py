@@ -32,14 +32,16 @@ def _lagged(series: DataFrame, max_lag: int, size: int) -> DataFrame:
     return held.select("symbol", "n", F.col("value").alias("x"), F.posexplode("_past").alias("lag", "y"))
 
 
+def _correlation() -> Column:
+    """Null without spread, where the built-in correlation would raise."""
+    return ratio(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))
+
+
 def acf(series: DataFrame, config: CycleConfig = CycleConfig(), size: int = SIZE) -> DataFrame:
     """Pearson correlation of the series with itself at lags 1..max_lag, for series long enough."""
     k = config.max_lag
     pairs = _lagged(series.filter(F.col("n") >= k), k, size).filter("lag > 0")
-    spread = (F.stddev_pop("x") > 0) & (F.stddev_pop("y") > 0)
-    return pairs.groupBy("symbol", F.col("lag").cast("long").alias("lag")).agg(
-        F.when(spread, F.corr("x", "y")).alias("acf")
-    )
+    return pairs.groupBy("symbol", F.col("lag").cast("long").alias("lag")).agg(_correlation().alias("acf"))
 
 
 def pacf(series: DataFrame, config: CycleConfig = CycleConfig(), size: int = SIZE) -> DataFrame:
@@ -53,7 +55,7 @@ def pacf(series: DataFrame, config: CycleConfig = CycleConfig(), size: int = SIZ
     means = series.groupBy("symbol").agg(F.avg("value").alias("_mean"))
     centred = series.join(means, "symbol").withColumn("value", F.col("value") - F.col("_mean")).drop("_mean")
     pairs = _lagged(centred, k, size)
-    per_lag = pairs.groupBy("symbol", "lag").agg(F.sum(F.col("x") * F.col("y")).alias("g"), F.corr("x", "y").alias("r"))
+    per_lag = pairs.groupBy("symbol", "lag").agg(F.sum(F.col("x") * F.col("y")).alias("g"), _correlation().alias("r"))
     per = per_lag.groupBy("symbol").agg(
         F.sort_array(F.collect_list(F.struct("lag", "g"))).alias("_g"),
         F.max(F.when(F.col("lag") == 1, F.col("r"))).alias("_first"),

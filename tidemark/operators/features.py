@@ -7,10 +7,10 @@ run lengths and whatever looks at a whole series come from :func:`scans`.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.config import FeatureConfig
-from tidemark.functions.exprs import EPS, back, enough, flag, lag, median_over, ratio, rolling, rows
+from tidemark.functions.exprs import EPS, back, correlation, enough, flag, lag, ratio, rolling, rows, sorted_over, sorted_quantile
 from tidemark.operators.frame import SIZE, core_rows, ema, streak, with_halo
 from tidemark.operators.quality import atr, with_returns_and_range
 from tidemark.session import cut
@@ -19,17 +19,87 @@ from tidemark.session import cut
 WARMUP = 252 + 20 + 1
 
 
-def base(framed: DataFrame) -> DataFrame:
-    """Level one: one-row differences everything else builds on."""
-    prev_volume = lag("volume")
-    return with_returns_and_range(framed).withColumns(
+def base(framed: DataFrame, config: FeatureConfig = FeatureConfig()) -> DataFrame:
+    """Level one: one-row differences, then the moments of every window."""
+    gain = F.coalesce(F.greatest(F.col("close") - lag("close"), F.lit(0.0)), F.lit(0.0))
+    loss = F.coalesce(F.greatest(lag("close") - F.col("close"), F.lit(0.0)), F.lit(0.0))
+    df = with_returns_and_range(framed).withColumns(
         {
-            "delta": F.col("close") - lag("close"),
             "range": F.col("high") - F.col("low"),
-            "volume_change": ratio(F.col("volume"), prev_volume) - 1,
+            "volume_change": ratio(F.col("volume"), lag("volume")) - 1,
             "dollar": F.col("close") * F.col("volume"),
+            "gain": gain,
+            "loss": loss,
         }
     )
+    df = df.withColumn("flow", F.coalesce(F.signum("log_return") * F.col("volume"), F.lit(0.0)))
+    return moments(df, config.windows)
+
+
+#: What is kept per column and window: n count, s sum, q squared deviations, hi, lo.
+MOMENTS = {
+    "close": "n s q hi lo", "log_return": "n s q", "volume": "n s q", "high": "n hi", "low": "n lo", "range": "n s",
+    "dollar": "n s", "gain": "s", "loss": "s", "flow": "s",
+}
+
+
+def at(c: str, kind: str, w: int) -> Column:
+    return F.col(f"_{c}_{kind}_{w}")
+
+
+def moments(df: DataFrame, windows: tuple[int, ...]) -> DataFrame:
+    """Window statistics, where a window twice as long as another reuses it.
+
+    Two adjacent halves merge with one look-back (counts and sums add, deviations merge by
+    the two-sample formula), so a row costs the same for 80 rows as for 10.
+    """
+    done: list[int] = []
+    direct = {}
+    for w in sorted(set(windows)):
+        if w % 2 == 0 and w // 2 in windows:
+            continue
+        done.append(w)
+        frame = back(w)
+        for c, kinds in MOMENTS.items():
+            makers = {
+                "n": F.count(c).over(frame), "s": F.sum(c).over(frame), "hi": F.max(c).over(frame), "lo": F.min(c).over(frame),
+                "q": F.var_pop(c).over(frame) * F.count(c).over(frame),
+            }
+            direct.update({f"_{c}_{k}_{w}": makers[k] for k in kinds.split()})
+    df = df.withColumns(direct)
+    for w in sorted(set(windows) - set(done)):
+        half = w // 2
+        both = {}
+        for c, kinds in MOMENTS.items():
+            new = {k: at(c, k, half) for k in kinds.split()}
+            old = {k: lag(at(c, k, half), half) for k in kinds.split()}
+            zero = F.lit(0.0)
+            for k in new:
+                if k == "n":
+                    both[f"_{c}_n_{w}"] = new[k] + F.coalesce(old[k], F.lit(0))
+                elif k == "s":
+                    both[f"_{c}_s_{w}"] = F.when(new[k].isNotNull() | old[k].isNotNull(), F.coalesce(new[k], zero) + F.coalesce(old[k], zero))
+                elif k == "q":
+                    away = ratio(new["s"], new["n"]) - ratio(old["s"], old["n"])
+                    apart = away * away * new["n"] * old["n"] / F.greatest(new["n"] + old["n"], F.lit(1))
+                    both[f"_{c}_q_{w}"] = F.coalesce(new[k], zero) + F.coalesce(old[k], zero) + F.coalesce(apart, zero)
+                else:
+                    both[f"_{c}_{k}_{w}"] = (F.greatest if k == "hi" else F.least)(new[k], old[k])
+        df = df.withColumns(both)
+    return df
+
+
+def known(c: str, w: int, expr: Column, needed: int | None = None) -> Column:
+    return F.when(at(c, "n", w) >= (w if needed is None else needed), expr)
+
+
+def mean_of(c: str, w: int, needed: int | None = None) -> Column:
+    return known(c, w, ratio(at(c, "s", w), at(c, "n", w)), needed)
+
+
+def deviation_of(c: str, w: int, needed: int | None = None) -> Column:
+    n = at(c, "n", w)
+    return known(c, w, F.when(n >= 2, F.sqrt(at(c, "q", w) / F.greatest(n - 1, F.lit(1)))), needed)
 
 
 def price(df: DataFrame, config: FeatureConfig = FeatureConfig()) -> DataFrame:
@@ -37,18 +107,15 @@ def price(df: DataFrame, config: FeatureConfig = FeatureConfig()) -> DataFrame:
     for w in config.windows:
         half = max(1, w // 2)
         level[f"momentum_{w}"] = ratio("close", lag("close", w)) - 1
-        level[f"volatility_{w}"] = rolling(F.stddev_samp, "log_return", w, half)
-        level[f"sma_{w}"] = rolling(F.avg, "close", w, half)
-        level[f"high_max_{w}"] = rolling(F.max, "high", w)
-        level[f"low_min_{w}"] = rolling(F.min, "low", w)
-        level[f"range_mean_{w}"] = rolling(F.avg, "range", w)
+        level[f"volatility_{w}"] = deviation_of("log_return", w, half)
+        level[f"sma_{w}"] = mean_of("close", w, half)
     df = df.withColumns(level)
     derived = {}
     for w in config.windows:
-        high, low = F.col(f"high_max_{w}"), F.col(f"low_min_{w}")
+        high, low = known("high", w, at("high", "hi", w)), known("low", w, at("low", "lo", w))
         derived[f"price_to_sma_{w}"] = (F.col("close") - F.col(f"sma_{w}")) / (F.col("atr_14") + EPS)
         derived[f"high_low_range_{w}"] = ratio(high - low, "close")
-        derived[f"range_expansion_{w}"] = F.col("range") / (F.col(f"range_mean_{w}") + EPS)
+        derived[f"range_expansion_{w}"] = F.col("range") / (mean_of("range", w) + EPS)
         derived[f"pct_from_high_{w}"] = ratio("close", high) - 1
         derived[f"pct_from_low_{w}"] = ratio("close", low) - 1
     derived["intraday_range"] = ratio("range", "close")
@@ -60,26 +127,19 @@ def price(df: DataFrame, config: FeatureConfig = FeatureConfig()) -> DataFrame:
 
 def volume(df: DataFrame, config: FeatureConfig = FeatureConfig()) -> DataFrame:
     v = F.col("volume")
-    flow = F.coalesce(F.signum("log_return") * v, F.lit(0.0))
-    df = df.withColumn("flow", flow)
+    paired = F.col("log_return").isNotNull() & F.col("volume_change").isNotNull()
+    df = df.withColumns({"_x": F.when(paired, F.col("log_return")), "_y": F.when(paired, F.col("volume_change"))})
+    df = df.withColumns({f"_sorted_{w}": sorted_over("volume", back(w)) for w in config.windows})
     level = {}
     for w in config.windows:
-        level[f"volume_zscore_{w}"] = enough(
-            v, w, (v - F.avg(v).over(back(w))) / (F.stddev_samp(v).over(back(w)) + EPS)
-        )
-        level[f"volume_surge_{w}"] = enough(v, w, v / (median_over("volume", back(w)) + EPS))
+        level[f"volume_zscore_{w}"] = (v - mean_of("volume", w)) / (deviation_of("volume", w) + EPS)
+        level[f"volume_surge_{w}"] = known("volume", w, v / (sorted_quantile(F.col(f"_sorted_{w}"), 0.5) + EPS))
         # The difference of two running sums w rows apart is the sum over the last w rows.
-        level[f"obv_slope_{w}"] = F.when(F.col("rn") > w, F.sum("flow").over(back(w)) / w)
-        level[f"vwap_{w}"] = enough(
-            F.col("dollar"), w, F.sum("dollar").over(back(w)) / (F.sum(v).over(back(w)) + EPS)
-        )
-    pair = F.col("log_return") + F.col("volume_change")
+        level[f"obv_slope_{w}"] = F.when(F.col("rn") > w, at("flow", "s", w) / w)
+        level[f"vwap_{w}"] = known("dollar", w, at("dollar", "s", w) / (at("volume", "s", w) + EPS))
     for w in (10, 20, 40):
-        spread = (F.stddev_pop("log_return").over(back(w)) > 0) & (F.stddev_pop("volume_change").over(back(w)) > 0)
-        level[f"price_volume_corr_{w}"] = enough(
-            pair, w, F.when(spread, F.corr("log_return", "volume_change").over(back(w)))
-        )
-    df = df.withColumns(level)
+        level[f"price_volume_corr_{w}"] = enough("_x", w, correlation("_x", "_y", back(w)))
+    df = df.withColumns(level).drop("_x", "_y", *[f"_sorted_{w}" for w in config.windows])
     return df.withColumns(
         {f"price_to_vwap_{w}": F.col("close") / (F.col(f"vwap_{w}") + EPS) - 1 for w in config.windows}
     )
@@ -87,26 +147,24 @@ def volume(df: DataFrame, config: FeatureConfig = FeatureConfig()) -> DataFrame:
 
 def structure(df: DataFrame, config: FeatureConfig = FeatureConfig()) -> DataFrame:
     c = F.col("close")
-    gain = F.coalesce(F.greatest(F.col("delta"), F.lit(0.0)), F.lit(0.0))
-    loss = F.coalesce(F.greatest(-F.col("delta"), F.lit(0.0)), F.lit(0.0))
-    df = df.withColumns({"_gain": gain, "_loss": loss})
     level = {}
     for w in config.windows:
-        mean, dev = rolling(F.avg, "close", w), rolling(F.stddev_samp, "close", w)
+        mean, dev = mean_of("close", w), deviation_of("close", w)
         level[f"bb_width_{w}"] = 2 * dev / (mean + EPS)
         level[f"bb_position_{w}"] = (c - mean) / (2 * dev + EPS)
-        strength = F.avg("_gain").over(back(w)) / (F.avg("_loss").over(back(w)) + EPS)
+        strength = (at("gain", "s", w) / w) / (at("loss", "s", w) / w + EPS)
         level[f"rsi_{w}"] = F.when(F.col("rn") >= w, 100 - 100 / (1 + strength))
-        high, low = rolling(F.max, "high", w), rolling(F.min, "low", w)
+        high, low = known("high", w, at("high", "hi", w)), known("low", w, at("low", "lo", w))
         level[f"stoch_k_{w}"] = (c - low) / (high - low + EPS) * 100
     for w in (10, 20, 40):
-        top, bottom = rolling(F.max, "close", w), rolling(F.min, "close", w)
+        if w in config.windows:
+            top, bottom = known("close", w, at("close", "hi", w)), known("close", w, at("close", "lo", w))
+        else:
+            top, bottom = rolling(F.max, "close", w), rolling(F.min, "close", w)
         level[f"pullback_from_high_{w}"] = (c - top) / (top + EPS)
         level[f"rally_from_low_{w}"] = (c - bottom) / (bottom + EPS)
     df = df.withColumns(level)
-    return df.withColumns(
-        {f"stoch_d_{w}": rolling(F.avg, f"stoch_k_{w}", 3) for w in config.windows}
-    ).drop("_gain", "_loss")
+    return df.withColumns({f"stoch_d_{w}": rolling(F.avg, f"stoch_k_{w}", 3) for w in config.windows})
 
 
 def local_extrema(df: DataFrame, reach: int = 5) -> DataFrame:
@@ -122,11 +180,15 @@ def local_extrema(df: DataFrame, reach: int = 5) -> DataFrame:
 
 
 def rank_of_last(c: str, window: int) -> Column:
-    """Percentile rank (0..1) of the newest of ``window`` values, ties averaged."""
-    values = F.collect_list(c).over(back(window))
-    below = F.size(F.filter(values, lambda x: x < F.col(c)))
-    upto = F.size(F.filter(values, lambda x: x <= F.col(c)))
-    return enough(c, window, (below + upto + (upto > below).cast("int")) * 50.0 / window / 100)
+    """Percentile rank (0..1) of the newest of ``window`` values, ties averaged.
+
+    Twice the smaller values plus the equal ones plus one, halved; the newest equals itself.
+    """
+    score = F.aggregate(
+        F.collect_list(c).over(back(window)), F.lit(0),
+        lambda s, x: s + F.when(x < F.col(c), 2).when(x == F.col(c), 1).otherwise(0),
+    )
+    return enough(c, window, (score + 1) * 50.0 / window / 100)
 
 
 def multiscale(df: DataFrame, config: FeatureConfig = FeatureConfig()) -> DataFrame:
@@ -241,25 +303,78 @@ def with_divergence(df: DataFrame) -> DataFrame:
     return divergence(df.join(volume_benchmarks(df), "symbol"))
 
 
+def _extreme_rows(df: DataFrame) -> DataFrame:
+    """Latest-window extremes with their earliest row, for 20, 40 and 60 rows.
+
+    Longer windows merge two shorter ones, as in :func:`moments`.
+    """
+    rn = F.col("rn")
+    df = df.withColumns(
+        {
+            "_top": F.when(F.col("high").isNotNull(), F.struct(F.col("high").alias("v"), (-rn).alias("r"))),
+            "_low": F.when(F.col("low").isNotNull(), F.struct(F.col("low").alias("v"), rn.alias("r"))),
+        }
+    )
+    five = back(5)
+    df = df.withColumns(
+        {"_top_5": F.max("_top").over(five), "_low_5": F.min("_low").over(five), "_tn_5": F.count("high").over(five), "_ln_5": F.count("low").over(five)}
+    )
+    for w, newer, older in ((10, 5, 5), (20, 10, 10), (40, 20, 20), (60, 20, 40)):
+        df = df.withColumns(
+            {
+                f"_top_{w}": F.greatest(F.col(f"_top_{newer}"), lag(f"_top_{older}", newer)),
+                f"_low_{w}": F.least(F.col(f"_low_{newer}"), lag(f"_low_{older}", newer)),
+                f"_tn_{w}": F.col(f"_tn_{newer}") + F.coalesce(lag(f"_tn_{older}", newer), F.lit(0)),
+                f"_ln_{w}": F.col(f"_ln_{newer}") + F.coalesce(lag(f"_ln_{older}", newer), F.lit(0)),
+            }
+        )
+    return df
+
+
 def timing(df: DataFrame) -> DataFrame:
+    before = df.columns
+    df = _extreme_rows(df)
     out = {}
     for w in (20, 40, 60):
-        for side, c, pick in (("high", "high", F.array_max), ("low", "low", F.array_min)):
-            values = F.collect_list(c).over(back(w))
-            out[f"days_since_{side}_{w}"] = enough(
-                c, w, (w - F.array_position(values, pick(values))).cast("int")
-            )
-    for k in (1, 5, 10, 20):
-        out[f"_past_{k}"] = lag("log_return", k)
-    df = df.withColumns(out)
+        out[f"days_since_high_{w}"] = F.when(F.col(f"_tn_{w}") >= w, (F.col("rn") + F.col(f"_top_{w}.r")).cast("int"))
+        out[f"days_since_low_{w}"] = F.when(F.col(f"_ln_{w}") >= w, (F.col("rn") - F.col(f"_low_{w}.r")).cast("int"))
+    return autocorrelations(df.withColumns(out).select(*before, *out))
+
+
+LAGS = (1, 5, 10, 20)
+
+
+def autocorrelations(df: DataFrame, window: int = 60) -> DataFrame:
+    """Correlation of returns with themselves ``k`` rows earlier, inside ``window`` rows.
+
+    Sums over a window are differences of the shard's running sums: returns are small numbers
+    around zero, so nothing is lost, and a row costs the same for any window. A constant
+    window has no correlation; run lengths tell exactly where that is.
+    """
+    before = df.columns
+    x = F.col("log_return")
+    upto = rows(Window.unboundedPreceding, 0)
+    df = df.withColumns({"_x": F.coalesce(x, F.lit(0.0)), "_moved": F.when(x.isNull() | lag(x).isNull() | (x != lag(x)), F.col("rn"))})
+    sums = {"_sx": F.sum("_x"), "_sxx": F.sum(F.col("_x") * F.col("_x")), "_n": F.count(x), "_since": F.max("_moved")}
+    sums = {name: total.over(upto) for name, total in sums.items()}
+    sums.update({f"_p_{k}": F.col("_x") * lag("_x", k) for k in LAGS})
+    df = df.withColumns(sums)
+    df = df.withColumns({f"_sxy_{k}": F.sum(f"_p_{k}").over(upto) for k in LAGS} | {"_flat": F.col("rn") - F.col("_since") + 1})
     level = {}
-    for k in (1, 5, 10, 20):
-        frame = back(60 - k)
-        spread = (F.stddev_pop("log_return").over(frame) > 0) & (F.stddev_pop(f"_past_{k}").over(frame) > 0)
-        level[f"autocorr_lag_{k}"] = enough(
-            "log_return", 60, F.when(spread, F.corr("log_return", f"_past_{k}").over(frame))
-        )
-    return df.withColumns(level).drop(*[f"_past_{k}" for k in (1, 5, 10, 20)])
+    for k in LAGS:
+        m = window - k
+
+        def within(c: str, shift: int = 0) -> Column:
+            end = lag(c, shift) if shift else F.col(c)
+            return F.coalesce(end, F.lit(0.0)) - F.coalesce(lag(c, shift + m), F.lit(0.0))
+
+        sx, sy = within("_sx"), within("_sx", k)
+        vx, vy = within("_sxx") - sx * sx / m, within("_sxx", k) - sy * sy / m
+        cov = within(f"_sxy_{k}") - sx * sy / m
+        full = F.col("_n") - F.coalesce(lag("_n", window), F.lit(0)) >= window
+        varied = (F.col("_flat") < m) & (lag("_flat", k) < m)
+        level[f"autocorr_lag_{k}"] = F.when(full & varied, ratio(cov, F.sqrt(F.greatest(vx, F.lit(0.0)) * F.greatest(vy, F.lit(0.0)))))
+    return df.withColumns(level).select(*before, *level)
 
 
 def streaks(df: DataFrame, size: int = SIZE) -> DataFrame:
@@ -309,7 +424,7 @@ def scans(positioned: DataFrame, config: FeatureConfig = FeatureConfig(), size:
 
 
 def bounded_features(framed: DataFrame, config: FeatureConfig = FeatureConfig()) -> DataFrame:
-    df = price(base(framed), config)
+    df = price(base(framed, config), config)
     if config.use_volume:
         df = volume(df, config)
     df = multiscale(local_extrema(structure(df, config)), config)
@@ -318,7 +433,8 @@ def bounded_features(framed: DataFrame, config: FeatureConfig = FeatureConfig())
     df = risk_adjusted(df, config)
     if config.use_volume:
         df = divergence(divergence_parts(df, config.causal_divergence))
-    return timing(df)
+    df = timing(df)
+    return df.select(*[c for c in df.columns if not c.startswith("_")])
 
 
 def features(positioned: DataFrame, config: FeatureConfig = FeatureConfig(), size: int = SIZE) -> DataFrame:
