@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from checks.fixtures import ATR_SQL, BASE_SQL, SYM, back, full, out, placed, r, span
-from tidemark.config import LabelConfig
-from tidemark.functions.exprs import back as back_rows
 from tidemark.operators import labels as L
 from tidemark.operators import regimes as R
 from tidemark.operators.frame import core_rows, with_halo
-from tidemark.session import cut
 
 QUERIES, SQL = {}, {}
 HORIZONS = (3, 5, 10, 20)
@@ -140,7 +137,6 @@ def _stats(s, d):
     return out(df, ("total", "ones", "minus_ones", "zeros"), keys=("symbol", "label"), one_share=6, minus_one_share=6, avg_strength=6)
 
 
-PARTS = {f"label_move_{h}d": None for h in HORIZONS}
 STAT_SQL = f"WITH {CONS_SQL}, rv AS (SELECT *, close - lag(close, 10) OVER {SYM} AS prior, lead(close, 9) OVER {SYM} - close AS ahead FROM ranged), " + ", ".join(
     move_sql(h, "0").replace("moved AS", f"moved{h} AS").replace("m AS (", f"m{h} AS (", 1).replace("FROM m)", f"FROM m{h})").replace("t AS (SELECT *, list_tr", f"t{h} AS (SELECT *, list_tr")
     .replace("FROM t)", f"FROM t{h})").replace("u AS (SELECT", f"u{h} AS (SELECT").replace("FROM u)", f"FROM u{h})").replace("v AS (SELECT", f"v{h} AS (SELECT").replace("FROM v)", f"FROM v{h})")

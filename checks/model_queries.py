@@ -268,20 +268,6 @@ register(
 register("saved_model_scores", _saved_model)
 
 
-def _names(s, d):
-    """Which columns a model may see and which labels exist, taken from the tables themselves."""
-    clean = placed(s, d)
-    have = stages.feature_table(clean).columns
-    labels = L.label_columns()
-    rows = [("feature", n, n in have) for n in X.feature_names()]
-    made = set(stages.label_table(clean).columns)
-    rows += [(g, n, n in made) for g, ns in labels.items() for n in ns]
-    return s.createDataFrame(rows, "kind string, name string, present boolean").crossJoin(F.broadcast(clean.agg(F.count(F.lit(1)).alias("bars"))))
-
-
-register("column_manifest", _names)
-
-
 def _all_features(s, d):
     """Every model feature in one plan."""
     names = X.feature_names()

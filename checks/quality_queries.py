@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.fixtures import (
-    ATR_SQL, BARS_SQL, BASE_SQL, DIRTY_SQL, SCORES_SQL, SYM, back, bars, dirty, full, hourly, out, placed, r, scores,
+    BARS_SQL, BASE_SQL, DIRTY_SQL, SCORES_SQL, SYM, back, bars, dirty, hourly, out, placed, r, scores,
 )
 from tidemark.config import QualityConfig
 from tidemark.functions.exprs import lag, ratio
@@ -83,7 +83,6 @@ register(
     f"""WITH {DIRTY_SQL}, m AS (SELECT symbol, sum(CASE WHEN close IS NULL THEN 1 ELSE 0 END) / (4.0 * count(*)) AS x FROM dirty GROUP BY symbol)
     SELECT symbol, round(CAST(x AS DOUBLE), 8) AS missing_rate, CAST(x > 0.005 AS INTEGER) AS too_many FROM m""",
 )
-BAD_HIGH = "coalesce(high < low OR high < open OR high < close, FALSE)"
 BAD_PRICE = "coalesce(open <= 0, FALSE) OR coalesce(high <= 0, FALSE) OR coalesce(low <= 0, FALSE) OR coalesce(close <= 0, FALSE)"
 register(
     "drop_invalid_high",

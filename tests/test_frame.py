@@ -132,3 +132,17 @@ def test_labels_do_not_depend_on_shard_size(bars):
     placed = cut(R.position(df))
     a, b = (of(L.labels(placed, size=k).toPandas()) for k in (2048, 64))
     pd.testing.assert_frame_equal(a, b)
+
+
+def test_manifests_name_real_columns_and_keep_labels_out(bars):
+    df, _ = bars
+    from tidemark.operators.quality import calendar
+
+    placed = cut(R.position(df))
+    names = X.feature_names()
+    assert len(names) == len(set(names))
+    assert set(names) <= set(calendar(X.features(placed)).columns)
+    groups = L.label_columns()
+    made = L.labels(placed).columns
+    assert all(set(g) <= set(made) for g in groups.values())
+    assert not set(names) & set(made[2:])

@@ -48,8 +48,8 @@ def split(rows: DataFrame, config: ModelConfig = ModelConfig()) -> DataFrame:
 def class_weights(rows: DataFrame) -> DataFrame:
     """Balanced weights: rows / (classes * rows of the class)."""
     counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("_total"), F.count(F.lit(1)).alias("_classes"))
-    return counts.join(F.broadcast(total), how="inner").select(  # total is one row
+    every = counts.agg(F.collect_list(F.struct("label", "n")).alias("c"), F.sum("n").alias("_total"), F.count(F.lit(1)).alias("_classes"))
+    return every.select("_total", "_classes", F.inline("c")).select(
         "label", (F.col("_total") / (F.col("_classes") * F.col("n"))).alias("weight")
     )
 
