@@ -148,6 +148,11 @@ def window_attributions(explained: DataFrame, names: list[str], windows: tuple[i
 # ---- patterns --------------------------------------------------------------------------
 
 
+def fixed(c: Column, digits: int) -> Column:
+    """Fixed-point text of the exact binary value; ``format_string`` rounds its decimal form."""
+    return F.call_function("format_number", c, F.lit("0." + "0" * digits))
+
+
 def pattern_report(stats: DataFrame, shapes: DataFrame) -> DataFrame:
     """Text and best-horizon metrics per pattern, best Sharpe ratio first.
 
@@ -164,8 +169,8 @@ def pattern_report(stats: DataFrame, shapes: DataFrame) -> DataFrame:
     power = F.when(
         F.col("w.win_rate") > 0,
         F.format_string(
-            ". Best predictive power at %d-day horizon: %.1f%% win rate, %.2f%% mean return",
-            F.col("w.horizon").cast("long"), F.col("w.win_rate") * 100, F.col("w.mean_return") * 100,
+            ". Best predictive power at %d-day horizon: %s%% win rate, %s%% mean return",
+            F.col("w.horizon").cast("long"), fixed(F.col("w.win_rate") * 100, 1), fixed(F.col("w.mean_return") * 100, 2),
         ),
     ).otherwise("")
     return joined.select(
@@ -194,12 +199,12 @@ def explain_signals(scored: DataFrame, importance: list[tuple[str, float]], thre
         *[F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("value"), F.lit(float(v)).alias("importance")) for n, v in present]
     )
     lines = [
-        F.format_string("  - %s: %.3f (importance: %.3f)", F.lit(n), F.col(n).cast("double"), F.lit(float(v))) for n, v in present[:5]
+        F.format_string("  - %s: %s (importance: %s)", F.lit(n), fixed(F.col(n).cast("double"), 3), fixed(F.lit(float(v)), 3)) for n, v in present[:5]
     ]
     out = scored.withColumns(
         {"signal": decision(score, threshold), "confidence": F.abs(score - 0.5) * 2, "threshold": F.lit(threshold), "top_features": parts}
     )
-    head = [F.format_string("Signal: %s", "signal"), F.format_string("Confidence: %.1f%%", F.col("confidence") * 100)]
+    head = [F.format_string("Signal: %s", "signal"), F.format_string("Confidence: %s%%", fixed(F.col("confidence") * 100, 1))]
     body = [F.lit("Key factors:"), *lines] if lines else []
     return out.withColumn("narrative", F.concat_ws("\n", *head, *body))
 
