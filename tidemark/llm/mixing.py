@@ -16,7 +16,7 @@ from tidemark.llm.common import stored
 from tidemark.operators.frame import prefix
 from tidemark.session import cut
 
-RANGE_ROWS = 4096
+RANGE_ROWS = 1024
 HEX = 4  # digits of the hash that can name a range
 
 
