@@ -125,11 +125,21 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1]
 
 
-def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit polynomial hash of every span of bytes; equal spans have equal hashes wherever they lie. Spans ascend."""
-    if len(starts) == 0:
-        return np.empty(0, np.uint64)
-    up, down = powers(len(codes))
-    with np.errstate(over="ignore"):
-        sums = np.concatenate(([np.uint64(0)], np.cumsum(SIGNS[codes] * up, dtype=np.uint64)))
-        return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+    """A 64-bit polynomial hash of every span of bytes; equal spans have equal hashes wherever they lie. Spans ascend.
+
+    Some ``step`` bytes at a time are spread to 64 bits (more only for one span that is longer).
+    """
+    out = np.empty(len(starts), np.uint64)
+    a = 0
+    while a < len(starts):
+        low = int(starts[a])
+        b = max(a + 1, int(np.searchsorted(ends, low + step, side="right")))
+        part = codes[low:int(ends[b - 1])]
+        up, down = powers(len(part))
+        with np.errstate(over="ignore"):
+            sums = np.concatenate(([np.uint64(0)], np.cumsum(SIGNS[part] * up, dtype=np.uint64)))
+            first, last = starts[a:b] - low, ends[a:b] - low
+            out[a:b] = mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64))
+        a = b
+    return out

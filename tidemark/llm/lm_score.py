@@ -1,7 +1,7 @@
 """Stupid-backoff scores of documents against the n-gram counts of the whole corpus.
 
 Three joined tables do the work. ``blocks`` hold some megabytes of texts each, compressed. Every block explodes its texts into
-n-grams of all orders, adds up equal ones, and asks for the counts of its n-grams, in parts by their 56-bit hash. Each
+n-grams of all orders, adds up equal ones, and asks for the counts of its n-grams, in parts by their 52-bit hash. Each
 part adds up what the blocks have of each n-gram, the count table of that range of hashes, and answers each
 block with the totals in the order it asked. Blocks joined with their answers score each word,
 S(w | context) = count(context w) / count(context) where the n-gram occurs at least ``least`` times, else ``backoff`` times the score with a shorter
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.llm.common import by_bytes, mix, span_hashes, stored, words_of
 from tidemark.llm.simhash import LOWER
 
-HASH_BITS = 56
+HASH_BITS = 52
 PART_KEYS = 1 << 19
 
 
@@ -80,7 +80,7 @@ def blocks_of(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFra
 
         def block() -> pa.RecordBatch:
             words = sum(len(t.split()) for t in texts)
-            body = pa.compress(b"".join(texts), codec=pa.Codec("zstd", compression_level=5).name, asbytes=True)
+            body = pa.compress(b"".join(texts), codec="zstd", asbytes=True)
             return pa.RecordBatch.from_arrays([
                 pa.array([number], pa.int64()), pa.array([ids], pa.list_(id_type)), pa.array([[len(t) for t in texts]], pa.list_(pa.int32())),
                 pa.array([body], pa.binary()), pa.array([words], pa.int64())], names=["block", "ids", "sizes", "texts", "words"])
