@@ -105,9 +105,12 @@ def level_between(good: np.ndarray, bad: np.ndarray) -> float:
 
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-    buckets: int = 10_000, sample: int = 10_000, smoothing: float = 1.0, seed: int = 3,
+    buckets: int = 10_000, sample: int = 10_000, smoothing: float = 1.0, prior: float = 5.0, seed: int = 3,
 ) -> Model:
-    """Target and raw models; ``sample`` bounds the labelled rows in use (about), raw counts cover every row."""
+    """Target and raw models; ``sample`` bounds the labelled rows in use (about), raw counts cover every row.
+
+    The target model is drawn towards the raw one as by ``prior`` n-grams a bucket, so buckets that few good texts reach say little.
+    """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter("_id is not null and _y in (0, 1)")
     n = {r[0]: r[1] for r in known.groupBy("_y").count().collect()}
     rate = F.when(F.col("_y") == 1, min(1.0, sample / 2 / max(n.get(1, 0), 1))).otherwise(min(1.0, sample / 2 / max(n.get(0, 0), 1)))
@@ -115,7 +118,7 @@ def fit(
     named = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
     chosen = stored(named.join(F.broadcast(few), "_id").select("_y", "text"))
     raw = bucket_counts(named.select("text"), buckets) + smoothing
-    target = bucket_counts(chosen.filter("_y = 1").select("text"), buckets) + smoothing
+    target = bucket_counts(chosen.filter("_y = 1").select("text"), buckets) + prior * buckets * raw / raw.sum()
     model = Model(np.log(target / target.sum()) - np.log(raw / raw.sum()), -np.inf)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
