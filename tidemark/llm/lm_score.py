@@ -107,21 +107,35 @@ def texts_in(body: bytes, sizes: list[int]) -> list[bytes]:
     return [whole[e - s:e] for e, s in zip(ends, sizes)]
 
 
+def one_by_one(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows of some megabytes each, only one of them as Python objects at a time."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
+def distinct(keys: list[np.ndarray], valid: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of all orders, sorted, and how often each occurs."""
+    every = np.concatenate([k[v] for k, v in zip(keys, valid)])
+    every.sort()
+    first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1]))) if len(every) else np.empty(0, np.int64)
+    return every[first], np.diff(first, append=len(every)).astype(np.uint32)
+
+
 def asked(order: int, bits: int):
     """Each block's distinct n-grams with their counts, cut into parts by the highest bits of the hash."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in one_by_one(batch):
                 keys, valid, _ = grams(texts_in(row["texts"], row["sizes"]), order)
-                found, n = np.unique(np.concatenate([k[v] for k, v in zip(keys, valid)]), return_counts=True)
+                found, n = distinct(keys, valid)
                 part = found >> np.uint64(HASH_BITS - bits)
                 cuts = np.flatnonzero(np.diff(part)) + 1
                 for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(found)]):
                     if b > a:
                         yield pa.RecordBatch.from_arrays([
                             pa.array([row["block"]], pa.int64()), pa.array([int(part[a])], pa.int32()),
-                            pa.array([pack_keys(found[a:b])], pa.binary()), pa.array([pack(n[a:b].astype(np.uint32))], pa.binary())],
+                            pa.array([pack_keys(found[a:b])], pa.binary()), pa.array([pack(n[a:b])], pa.binary())],
                             names=["block", "part", "keys", "counts"])
 
     return run
@@ -148,9 +162,9 @@ def summed(order: int, least: int, backoff: float, total: int, kind: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             id_type = batch.schema.field("ids").type.value_type
-            for row in batch.to_pylist():
+            for row in one_by_one(batch):
                 keys, valid, owner = grams(texts_in(row["texts"], row["sizes"]), order)
-                found = np.unique(np.concatenate([k[v] for k, v in zip(keys, valid)]))
+                found, _ = distinct(keys, valid)
                 answers = sorted(row["answers"] or [], key=lambda a: a["part"])
                 totals = np.concatenate([unpack(a["totals"], np.uint64) for a in answers]) if answers else np.empty(0, np.uint64)
                 score = np.zeros(len(owner))
@@ -175,7 +189,7 @@ def summed(order: int, least: int, backoff: float, total: int, kind: str):
 
 
 def scores(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, least: int = 2, backoff: float = 0.4, block_bytes: int = 16 << 20,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, least: int = 2, backoff: float = 0.4, block_bytes: int = 8 << 20,
 ) -> DataFrame:
     """(doc_id, n_words, log_score) per row: the natural logarithms of the words' scores, summed."""
     blocks = blocks_of(docs, id_col, text_col, block_bytes)
