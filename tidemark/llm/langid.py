@@ -5,7 +5,7 @@ counts, lower orders count different left neighbours, each order discounts by n1
 16-bit characters are hashed to 64-bit keys; per order one sorted array of keys holds the probabilities of all languages, so
 a text is scored for every language with one binary search per character (further ones only where an n-gram is unknown).
 The language with the lowest cross-entropy per character wins. It is rejected if that
-entropy lies more than ``z`` deviations above what texts of this language had that were not used for fitting.
+entropy lies more than ``z`` deviations, and by half or more, above what texts of this language had that were not used for fitting.
 
 Counts come from a bounded sample (``chars`` characters over all languages, rows chosen by a hash); the models are thus
 of bounded size. Null texts and texts without a letter are ``und``, score 0, rejected. If nothing can be learned every
@@ -25,6 +25,7 @@ from tidemark.llm.common import by_bytes, chance, mix, replaced, stored, texts_o
 
 ORDER = 4
 PAD, BLANK = 0xFFFF, 32
+LEAST_EXCESS = 0.5
 
 
 @lru_cache(maxsize=1)
@@ -177,7 +178,8 @@ class Model:
         low = e[np.arange(len(texts)), best]
         chances = np.exp(-(e - low[:, None]) * np.minimum(n, 50)[:, None])
         score = np.where(n > 0, 1 / chances.sum(1), 0.0)
-        limit = self.center[best] + z * np.maximum(self.far[best], self.near[best] / np.sqrt(np.maximum(n, 1)))
+        spread = z * np.maximum(self.far[best], self.near[best] / np.sqrt(np.maximum(n, 1)))
+        limit = self.center[best] + np.maximum(spread, LEAST_EXCESS * self.center[best])
         names = [self.names[b] if m else "und" for b, m in zip(best.tolist(), n.tolist())]
         return names, score, np.where(n > 0, low, 0.0), (n == 0) | (low > limit)
 
