@@ -64,8 +64,8 @@ class Segmenter:
         self.ends = Memo(lambda piece: [piece[i:] for i in range(len(piece))], 1 << 16)
         self.beside = {pair for p in pieces for pair in zip(p, p[1:])}
         self.final: dict[str, str] = {}
-        self.packed = Memo(lambda span: b"".join(map(self.parts.__getitem__, self._split(span))), 1 << 18)
-        self.parts = Memo(self._packed, 1 << 19)
+        self.packed = Memo(lambda span: b"".join(map(self.parts.__getitem__, self._split(span))), 1 << 17)
+        self.parts = Memo(self._packed, 1 << 18)
 
     def _followers(self, left: str) -> Memo:
         return Memo(lambda right: self._stable(left, right), 1 << 14)
@@ -145,7 +145,7 @@ class Segmenter:
     def shared(self, text: str) -> list[int]:
         """The search of :meth:`segment` for a short span of a merge model, which keeps the backpointers of beginnings that other spans may share."""
         final, pieces = self.final, self.pieces
-        if len(final) > 1 << 17:
+        if len(final) > 1 << 16:
             final.clear()
         n = done = len(text)
         while done and text[:done] not in final:
@@ -238,6 +238,7 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*columns, ids], names=[*kept, ids_col])
+        pa.default_memory_pool().release_unused()
 
     return rest.mapInArrow(run, schema)
 
