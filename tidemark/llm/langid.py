@@ -82,7 +82,7 @@ def counted(texts: DataFrame, label: str) -> list[tuple[str, int, int]]:
                 codes, owner = codes_of([t for t, l in zip(texts_of(batch, "text"), names) if l == name])
                 keys, n = np.unique(grams(codes, ORDER)[owner >= 0], return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(keys)), pa.array(keys.view(np.int64)), pa.array(n)], names=["label", "gram", "n"])
+                    [pa.array([name] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n, pa.int64())], names=["label", "gram", "n"])
 
     return [tuple(r) for r in texts.mapInArrow(run, "label string, gram bigint, n bigint").groupBy("label", "gram").agg(F.sum("n")).collect()]
 
