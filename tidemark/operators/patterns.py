@@ -107,7 +107,7 @@ def kmeans_labels(wins: DataFrame, k: int = 15, seed: int = 42, max_iter: int =
     return model.transform(vectors).drop("v")
 
 
-def components(edges: DataFrame, keys: list[str], max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, keys: list[str]) -> DataFrame:
     """Connected components of (keys, a, b) edges by alternating large and small stars.
 
     Returns (keys, node, root) with the smallest member as root; rounds grow with the
@@ -128,14 +128,12 @@ def components(edges: DataFrame, keys: list[str], max_rounds: int = 40) -> DataF
         return e.filter(F.col("a") != F.col("b")).distinct()
 
     current, mark = cut(tidy(edges.select(*keys, "a", "b"))), None
-    for _ in range(max_rounds):
+    while True:  # each round but the last moves a node to a smaller root
         current = cut(tidy(small(tidy(large(current)))))
         state = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*keys, "a", "b").cast("decimal(38,0)"))).first()
         if state == mark:
             break
         mark = state
-    else:
-        raise RuntimeError("components did not settle")
     roots = current.select(*keys, F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return current.select(*keys, F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
 
