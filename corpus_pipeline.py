@@ -39,9 +39,8 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, ids, n_tokens, and whether the ids decode to the text."""
-    coded = pieces.encode(docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text")), tokenizer())
-    back = pieces.decode(coded, tokenizer())
-    return back.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.col("text")).alias("exact"))
+    coded = pieces.encode(docs.select("doc_id", "lang", "source", "text"), tokenizer(), exact_col="exact")
+    return coded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), "exact")
 
 
 STAGES = [

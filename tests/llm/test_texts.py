@@ -48,6 +48,9 @@ def test_pieces_are_the_librarys(spark, odd, model):
     back = {r.text: r.decoded for r in pieces.decode(pieces.encode(odd, model), model).collect()}
     assert all(back[t] == t for t in TEXTS[1:] if "▁" not in t)
     assert back[None] == ""
+    seen = pieces.encode(odd, model, exact_col="exact").collect()
+    assert {r.text: r.ids for r in seen} == got
+    assert all(r.exact == (back[r.text] == (r.text or "")) for r in seen)
 
 
 def test_streaming_search_commits_like_the_whole(model):

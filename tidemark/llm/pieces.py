@@ -226,19 +226,32 @@ def joined(ids: pa.ListArray, units: pa.Array, prefix: bool) -> pa.Array:
     return pc.replace_substring_regex(out, "^ ", "") if prefix else out
 
 
-def encode(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """``docs`` with an array of ids for each text (an existing column of that name is replaced); one pass, no shuffle."""
-    rest, kept, schema = replaced(docs, text_col, "_text", **{ids_col: "array<int>"})
+def coded_slices(batches: Iterable[pa.RecordBatch], known: Segmenter) -> Iterator[tuple[pa.RecordBatch, pa.ListArray]]:
+    """Slices of bounded bytes and the id lists of their texts (last column)."""
+    for batch in by_bytes(batches, "_text", 2 << 20):
+        packed = [known.encode(t) for t in texts_of(batch, "_text")]
+        offsets = np.concatenate(([0], np.cumsum([len(p) // 4 for p in packed]))).astype(np.int32)
+        yield batch, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+    pa.default_memory_pool().release_unused()
+
+
+def encode(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "ids", exact_col: str | None = None) -> DataFrame:
+    """``docs`` with an array of ids for each text (an existing column of that name is replaced); one pass, no shuffle.
+
+    ``exact_col`` adds whether decoding the ids returns the text (null as empty). It is found in the same pass: a second
+    one beside it would double the Python workers that remember spans.
+    """
+    new = {ids_col: "array<int>"} | ({exact_col: "boolean"} if exact_col else {})
+    rest, kept, schema = replaced(docs, text_col, "_text", **new)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, _ = load(model)
-        for batch in by_bytes(batches, "_text", 2 << 20):
-            packed = [known.encode(t) for t in texts_of(batch, "_text")]
-            offsets = np.concatenate(([0], np.cumsum([len(p) // 4 for p in packed]))).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, ids], names=[*kept, ids_col])
-        pa.default_memory_pool().release_unused()
+        known, units = load(model)
+        table = pa.array(units, pa.binary())
+        for batch, ids in coded_slices(batches, known):
+            columns = [*[batch.column(i) for i in range(batch.num_columns - 1)], ids]
+            if exact_col:
+                columns.append(pc.equal(joined(ids, table, known.prefix), pc.fill_null(batch.column(batch.num_columns - 1), "")))
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, *new])
 
     return rest.mapInArrow(run, schema)
 
@@ -265,6 +278,5 @@ def decode(coded: DataFrame, model: str, ids_col: str = "ids", out_col: str = "d
 
 def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids, n_tokens, exact) per row: the ids, their number, and whether decoding them returns the text (null as empty)."""
-    coded = encode(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), model)
-    back = decode(coded, model)
-    return back.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.col("text")).alias("exact"))
+    coded = encode(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model, exact_col="exact")
+    return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), "exact")
