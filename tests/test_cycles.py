@@ -102,3 +102,24 @@ def test_hidden_states_long_and_short_paths_agree(bars):
     one = H.decode(packed, whole, config).orderBy("rn").toPandas()
     many = H.decode(pieces, whole, config, length=150).orderBy("rn").toPandas()
     assert list(one.rn) == list(many.rn) and list(one.state) == list(many.state)
+
+
+def test_hidden_states_of_a_series_do_not_depend_on_others_and_plans_stay_small(spark):
+    rng = np.random.default_rng(6)
+
+    def obs_of(symbol, n):
+        calm = rng.integers(0, 2, n // 50 + 1).repeat(50)[:n]
+        r = rng.normal(0.001 - 0.002 * calm, 0.005 + 0.02 * calm)
+        return pd.DataFrame({"symbol": symbol, "rn": np.arange(1, n + 1), "n": n, "x": [[a, abs(a)] for a in r.tolist()]})
+
+    pdf = pd.concat([obs_of("A", 17000), obs_of("B", 18000), obs_of("S", 400)])
+    obs = cut(spark.createDataFrame(pdf, "symbol string, rn long, n long, x array<double>"))
+    config = CycleConfig(max_iterations=100)
+    together, _ = H.fit(obs, config)
+    alone, _ = H.fit(cut(obs.filter("symbol = 'A'")), config)
+    a, b = together.filter("symbol = 'A'").first(), alone.first()
+    for c in ("start", "trans", "mean", "cov"):
+        np.testing.assert_allclose(a[c], b[c], rtol=1e-6, atol=1e-8)
+    assert together.count() == 3
+    size = together._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    assert len(str(size)) < 12

@@ -1,10 +1,14 @@
 """Gaussian hidden-state regimes on (return, volatility), fitted by expectation-maximisation.
 
-Observations are packed into shards of bounded length. A series that fits into one shard is
-fitted inside one task. Longer series are fitted by jobs: each shard reduces to a K x K
-transfer matrix, the matrices are chained in two levels to give every shard its incoming and
-outgoing weights, each shard then returns sufficient statistics, and these are summed per
-symbol. Only parameters (a few dozen numbers per symbol) travel between rounds.
+Observations are packed into shards of bounded length. A round reduces each shard to a K x K
+transfer matrix, chains the matrices in two levels to give every shard its incoming and
+outgoing weights, takes sufficient statistics per shard and sums them per symbol. A symbol is
+settled once its own likelihood gains less than the tolerance, and then takes no part in
+further rounds, so its parameters do not depend on the other symbols. Rounds of a series that
+is one shard need no other row and run inside one task; the rounds of longer ones are jobs by
+the same arithmetic and the same rule. Only parameters (a few dozen numbers per symbol) travel
+between jobs, as a written table, so that plans and size estimates do not grow with the rounds.
+The recursions step through many shards at a time.
 """
 
 from __future__ import annotations
@@ -19,9 +23,10 @@ from tidemark.config import CycleConfig
 from tidemark.functions.exprs import back, enough
 from tidemark.operators.frame import core_rows, position, shard_of, with_halo
 from tidemark.operators.quality import log_return
-from tidemark.session import cut
+from tidemark.session import cut, written
 
-LENGTH = 16384
+LENGTH = 4096
+BLOCK = 64  # shards that step together
 FAN = 1024
 DIM = 2
 RIDGE = 1e-3
@@ -55,70 +60,97 @@ def pack(obs: DataFrame, length: int = LENGTH) -> DataFrame:
 # ---- arithmetic on one shard -----------------------------------------------------------
 
 
-def _unpack(row, k: int):
-    return (
-        np.asarray(row["start"], float), np.asarray(row["trans"], float).reshape(k, k),
-        np.asarray(row["mean"], float).reshape(k, DIM), np.asarray(row["cov"], float).reshape(k, DIM, DIM),
-    )
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for i in range(0, len(pdf), BLOCK):
+            yield pdf.iloc[i:i + BLOCK].reset_index(drop=True)
+
+
+def _array(column: pd.Series, *shape: int) -> np.ndarray:
+    return np.array([np.asarray(v, float) for v in column]).reshape(len(column), *shape)
+
+
+def _unpack(pdf: pd.DataFrame, k: int):
+    return _array(pdf["start"], k), _array(pdf["trans"], k, k), _array(pdf["mean"], k, DIM), _array(pdf["cov"], k, DIM, DIM)
+
+
+def _padded(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Observations of the shards, filled up to the longest, and which of them are real."""
+    parts = [np.asarray(v, float).reshape(-1, DIM) for v in column]
+    x = np.zeros((len(parts), max(map(len, parts)), DIM))
+    valid = np.zeros(x.shape[:2], bool)
+    for i, part in enumerate(parts):
+        x[i, :len(part)] = part
+        valid[i, :len(part)] = True
+    return x, valid
 
 
 def _log_density(x: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
-    out = np.empty((len(x), len(mean)))
-    for s in range(len(mean)):
-        away = x - mean[s]
-        out[:, s] = -0.5 * (np.einsum("ti,ij,tj->t", away, np.linalg.inv(cov[s]), away) + np.linalg.slogdet(cov[s])[1] + DIM * np.log(2 * np.pi))
-    return out
-
-
-def _transfer(dens: np.ndarray, trans: np.ndarray, first: bool) -> np.ndarray:
-    """Product of the shard's one-step matrices, scaled; the first row of a series has no step."""
-    total = np.eye(len(trans))
-    for t in range(len(dens)):
-        step = np.diag(dens[t]) if first and t == 0 else trans * dens[t][None, :]
-        total = total @ step
-        total /= total.max()
+    away = x[:, :, None, :] - mean[:, None]
+    quad = ((away[..., None, :] @ np.linalg.inv(cov)[:, None])[..., 0, :] * away).sum(-1)
+    return -0.5 * (quad + np.linalg.slogdet(cov)[1][:, None] + DIM * np.log(2 * np.pi))
+
+
+def _densities(x: np.ndarray, valid: np.ndarray, params) -> tuple[np.ndarray, np.ndarray]:
+    """Densities divided by the largest of their row, and the logarithm of that; 1 and 0 where nothing is observed."""
+    logs = _log_density(x, params[2], params[3])
+    shift = logs.max(2)
+    return np.where(valid[:, :, None], np.exp(logs - shift[:, :, None]), 1.0), np.where(valid, shift, 0.0)
+
+
+def _transfer(dens: np.ndarray, valid: np.ndarray, trans: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Product of each shard's one-step matrices, scaled; the first row of a series has no step."""
+    one = np.eye(trans.shape[1])
+    total = np.broadcast_to(one, trans.shape)
+    for t in range(dens.shape[1]):
+        step = trans * dens[:, t, None, :]
+        if t == 0:
+            step = np.where(first[:, None, None], one * dens[:, 0, None, :], step)
+        ahead = total @ step
+        total = np.where(valid[:, t, None, None], ahead / ahead.max((1, 2), keepdims=True), total)
     return total
 
 
-def _statistics(x: np.ndarray, params, alpha_in: np.ndarray, beta_out: np.ndarray, first: bool):
-    """Expected counts and moments of one shard, and its log-likelihood."""
-    start, trans, mean, cov = params
-    logs = _log_density(x, mean, cov)
-    shift = logs.max(1)
-    dens = np.exp(logs - shift[:, None])
-    size, k = dens.shape
-    alpha, scale = np.empty((size, k)), np.empty(size)
+def _statistics(x: np.ndarray, valid: np.ndarray, params, alpha_in: np.ndarray, beta_out: np.ndarray, first: np.ndarray) -> dict:
+    """Expected counts and moments of each shard, and its log-likelihood."""
+    start, trans = params[:2]
+    dens, shift = _densities(x, valid, params)
+    shards, size, k = dens.shape
+    alpha, beta, scale = np.empty(dens.shape), np.empty(dens.shape), np.ones((shards, size))
     current = alpha_in
     for t in range(size):
-        ahead = start if first and t == 0 else current @ trans
-        current = ahead * dens[t]
-        scale[t] = current.sum()
-        current = current / scale[t]
-        alpha[t] = current
-    beta = np.empty((size, k))
-    current = beta_out / beta_out.sum()
+        ahead = (current[:, None, :] @ trans)[:, 0]
+        if t == 0:
+            ahead = np.where(first[:, None], start, ahead)
+        current = ahead * dens[:, t]
+        scale[:, t] = current.sum(1)
+        current = current / scale[:, t, None]
+        alpha[:, t] = current
+    current = beta_out / beta_out.sum(1, keepdims=True)
     for t in range(size - 1, -1, -1):
-        beta[t] = current
-        current = trans @ (dens[t] * current)
-        current = current / current.sum()
+        beta[:, t] = current
+        behind = (trans @ (dens[:, t] * current)[:, :, None])[:, :, 0]
+        current = np.where(valid[:, t, None], behind / behind.sum(1, keepdims=True), current)
     gamma = alpha * beta
-    gamma /= gamma.sum(1, keepdims=True)
-    before = alpha[:-1] if first else np.vstack([alpha_in[None, :], alpha[:-1]])
-    after = (dens * beta)[1:] if first else dens * beta
-    pair = before[:, :, None] * trans[None] * after[:, None, :]
-    pair = (pair / pair.sum((1, 2), keepdims=True)).sum(0)
+    gamma = np.where(valid[:, :, None], gamma / gamma.sum(2, keepdims=True), 0.0)
+    before = np.concatenate([alpha_in[:, None], alpha[:, :-1]], 1)
+    pair = before[:, :, :, None] * trans[:, None] * (dens * beta)[:, :, None, :]
+    steps = valid.copy()
+    steps[first, 0] = False
+    pair = (pair * np.where(steps, 1 / pair.sum((2, 3)), 0.0)[:, :, None, None]).sum(1)
     return {
-        "g0": gamma[0] if first else np.zeros(k), "g": gamma.sum(0), "pair": pair, "gx": gamma.T @ x,
-        "gxx": np.einsum("ts,ti,tj->sij", gamma, x, x), "loglik": float(np.log(scale).sum() + shift.sum()),
+        "g0": np.where(first[:, None], gamma[:, 0], 0.0), "g": gamma.sum(1), "pair": pair, "gx": gamma.transpose(0, 2, 1) @ x,
+        "gxx": np.einsum("stk,stp->skp", gamma, (x[:, :, :, None] * x[:, :, None, :]).reshape(shards, size, -1), optimize=True).reshape(shards, k, DIM, DIM),
+        "loglik": np.where(valid, np.log(scale), 0.0).sum(1) + shift.sum(1),
     }
 
 
-def _maximise(s) -> tuple:
-    start = s["g0"] / s["g0"].sum()
-    trans = (s["pair"] + 1e-6) / (s["pair"] + 1e-6).sum(1, keepdims=True)
+def _maximise(s: dict) -> tuple:
+    start = s["g0"] / s["g0"].sum(1, keepdims=True)
+    trans = (s["pair"] + 1e-6) / (s["pair"] + 1e-6).sum(2, keepdims=True)
     weight = np.maximum(s["g"], 1e-9)
-    mean = s["gx"] / weight[:, None]
-    cov = s["gxx"] / weight[:, None, None] - mean[:, :, None] * mean[:, None, :] + RIDGE * np.eye(DIM)
+    mean = s["gx"] / weight[:, :, None]
+    cov = s["gxx"] / weight[:, :, None, None] - mean[..., :, None] * mean[..., None, :] + RIDGE * np.eye(DIM)
     return start, trans, mean, cov
 
 
@@ -131,20 +163,26 @@ def _initial(k: int):
     return np.full(k, 1 / k), trans, mean, np.stack([np.eye(DIM)] * k)
 
 
-def _fit_whole(x: np.ndarray, k: int, rounds: int, tolerance: float):
-    params, last = _initial(k), -np.inf
+def _fit_whole(x: np.ndarray, valid: np.ndarray, k: int, rounds: int, tolerance: float) -> tuple:
+    """All rounds of series that are one shard each; a settled one stays as it is."""
+    n = len(x)
+    params = tuple(np.repeat(p[None], n, 0) for p in _initial(k))
+    last, open_ = np.full(n, -np.inf), np.arange(n)
     for _ in range(rounds):
-        s = _statistics(x, params, params[0], np.ones(k), True)
-        params = _maximise(s)
-        if s["loglik"] - last < tolerance:
+        own = tuple(p[open_] for p in params)
+        s = _statistics(x[open_], valid[open_], own, own[0], np.ones((len(open_), k)), np.ones(len(open_), bool))
+        for p, new in zip(params, _maximise(s)):
+            p[open_] = new
+        going = ~(s["loglik"] - last[open_] < tolerance)
+        last[open_] = s["loglik"]
+        open_ = open_[going]
+        if not len(open_):
             break
-        last = s["loglik"]
     return params
 
 
-def _rows(params) -> dict:
-    start, trans, mean, cov = params
-    return {"start": start.tolist(), "trans": trans.ravel().tolist(), "mean": mean.ravel().tolist(), "cov": cov.ravel().tolist()}
+def _rows(params) -> dict[str, list]:
+    return {name: [v.ravel().tolist() for v in values] for name, values in zip(("start", "trans", "mean", "cov"), params)}
 
 
 # ---- chaining shards -------------------------------------------------------------------
@@ -179,81 +217,70 @@ def _chain(mats: DataFrame, k: int) -> DataFrame:
 
 
 def _long_fit(packed: DataFrame, config: CycleConfig, tolerance: float) -> DataFrame:
+    """Rounds as jobs: ``packed`` has several shards per symbol."""
     k = config.n_states
-    begin = _rows(_initial(k))
-    literal = [F.array(*[F.lit(v) for v in begin[c]]).alias(c) for c in ("start", "trans", "mean", "cov")]
-    params = cut(packed.select("symbol").distinct().select("symbol", *literal))
+    begin = _rows(p[None] for p in _initial(k))
+    literal = [F.array(*[F.lit(v) for v in begin[c][0]]).alias(c) for c in ("start", "trans", "mean", "cov")]
+    params = written(packed.select("symbol").distinct().select(
+        "symbol", *literal, F.lit(float("-inf")).alias("loglik"), F.lit(False).alias("settled")))
 
     def transfer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for _, row in pdf.iterrows():
-                _, trans, mean, cov = _unpack(row, k)
-                logs = _log_density(np.asarray(row["x"], float).reshape(-1, DIM), mean, cov)
-                dens = np.exp(logs - logs.max(1, keepdims=True))
-                out.append(_transfer(dens, trans, row["shard"] == 0).ravel().tolist())
-            yield pd.DataFrame({"symbol": pdf["symbol"], "shard": pdf["shard"], "m": out})
+        for pdf in _blocks(batches):
+            p = _unpack(pdf, k)
+            x, valid = _padded(pdf["x"])
+            mats = _transfer(_densities(x, valid, p)[0], valid, p[1], (pdf["shard"] == 0).to_numpy())
+            yield pd.DataFrame({"symbol": pdf["symbol"], "shard": pdf["shard"], "m": [m.ravel().tolist() for m in mats]})
 
     def statistics(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for _, row in pdf.iterrows():
-                p = _unpack(row, k)
-                mats = {c: np.asarray(row[c], float).reshape(k, k) for c in ("before", "after", "up_before", "up_after")}
-                alpha = p[0] @ mats["up_before"] @ mats["before"]
-                beta = mats["after"] @ mats["up_after"] @ np.ones(k)
-                s = _statistics(np.asarray(row["x"], float).reshape(-1, DIM), p, alpha / alpha.sum(), beta / beta.sum(), row["shard"] == 0)
-                out.append(np.concatenate([s["g0"], s["g"], s["pair"].ravel(), s["gx"].ravel(), s["gxx"].ravel(), [s["loglik"]]]).tolist())
-            yield pd.DataFrame({"symbol": pdf["symbol"], "s": out})
+        for pdf in _blocks(batches):
+            p = _unpack(pdf, k)
+            mats = {c: _array(pdf[c], k, k) for c in ("before", "after", "up_before", "up_after")}
+            alpha = (p[0][:, None, :] @ mats["up_before"] @ mats["before"])[:, 0]
+            beta = (mats["after"] @ mats["up_after"]).sum(2)
+            x, valid = _padded(pdf["x"])
+            s = _statistics(x, valid, p, alpha / alpha.sum(1, keepdims=True), beta, (pdf["shard"] == 0).to_numpy())
+            flat = np.concatenate([s[c].reshape(len(pdf), -1) for c in ("g0", "g", "pair", "gx", "gxx", "loglik")], 1)
+            yield pd.DataFrame({"symbol": pdf["symbol"], "s": flat.tolist()})
 
     width = 2 * k + k * k + k * DIM + k * DIM * DIM + 1
 
     def maximise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for v in pdf["s"]:
-                g0, g, pair, gx, gxx, _ = np.split(np.asarray(v, float), np.cumsum([k, k, k * k, k * DIM, k * DIM * DIM]))
-                s = {"g0": g0, "g": g, "pair": pair.reshape(k, k), "gx": gx.reshape(k, DIM), "gxx": gxx.reshape(k, DIM, DIM)}
-                out.append(_rows(_maximise(s)))
-            frame = pd.DataFrame(out, columns=["start", "trans", "mean", "cov"])
-            frame.insert(0, "symbol", pdf["symbol"].values)
-            frame["loglik"] = [v[-1] for v in pdf["s"]]
-            yield frame
-
-    last = None
+        for pdf in _blocks(batches):
+            g0, g, pair, gx, gxx, loglik = np.split(_array(pdf["s"], width), np.cumsum([k, k, k * k, k * DIM, k * DIM * DIM]), axis=1)
+            n = len(pdf)
+            new = _maximise({"g0": g0, "g": g, "pair": pair.reshape(n, k, k), "gx": gx.reshape(n, k, DIM), "gxx": gxx.reshape(n, k, DIM, DIM)})
+            yield pd.DataFrame({
+                "symbol": pdf["symbol"], **_rows(new), "loglik": loglik[:, 0], "settled": loglik[:, 0] - pdf["last"].to_numpy() < tolerance})
+
     for _ in range(config.max_iterations):
-        fed = packed.join(params.select("symbol", "start", "trans", "mean", "cov"), "symbol")
-        edges = cut(_chain(fed.mapInPandas(transfer, "symbol string, shard long, m array<double>"), k))
+        going = params.filter("not settled")
+        fed = packed.join(going.select("symbol", "start", "trans", "mean", "cov"), "symbol")
+        edges = _chain(fed.mapInPandas(transfer, "symbol string, shard long, m array<double>"), k)
         sums = fed.join(edges, ["symbol", "shard"]).mapInPandas(statistics, "symbol string, s array<double>")
         total = sums.groupBy("symbol").agg(F.array(*[F.sum(F.get("s", F.lit(i))) for i in range(width)]).alias("s"))
-        params = cut(total.mapInPandas(maximise, f"symbol string, {PARAMS}, loglik double"))
-        now = params.select("symbol", "loglik")
-        if last is not None:
-            moved = now.join(last, "symbol").agg(F.max(F.col("loglik") - F.col("_last"))).first()[0]
-            if moved is None or moved < tolerance:
-                break
-        last = now.withColumnRenamed("loglik", "_last")
+        total = total.join(going.select("symbol", F.col("loglik").alias("last")), "symbol")
+        moved = total.mapInPandas(maximise, f"symbol string, {PARAMS}, loglik double, settled boolean")
+        params = written(moved.unionByName(params.filter("settled")))
+        if params.filter("not settled").isEmpty():
+            break
     return params.select("symbol", "start", "trans", "mean", "cov")
 
 
 def fit(obs: DataFrame, config: CycleConfig = CycleConfig(), tolerance: float = 1e-2, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """Parameters per symbol (standardised plane) and the packed observations they belong to."""
+    """Parameters per symbol (standardised plane) and the packed observations they belong to. Runs jobs."""
     k = config.n_states
-    packed = cut(pack(obs.filter(F.col("n") >= 10 * k), length))
+    packed = written(pack(obs.filter(F.col("n") >= 10 * k), length))
     rounds = config.max_iterations
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = [_rows(_fit_whole(np.asarray(x, float).reshape(-1, DIM), k, rounds, tolerance)) for x in pdf["x"]]
-            frame = pd.DataFrame(out, columns=["start", "trans", "mean", "cov"])
-            frame.insert(0, "symbol", pdf["symbol"].values)
-            yield frame
+        for pdf in _blocks(batches):
+            yield pd.DataFrame({"symbol": pdf["symbol"], **_rows(_fit_whole(*_padded(pdf["x"]), k, rounds, tolerance))})
 
     short = packed.filter(F.col("n") <= length).select("symbol", "x").mapInPandas(whole, f"symbol string, {PARAMS}")
     long = packed.filter(F.col("n") > length)
     if long.isEmpty():
-        return cut(short), packed
-    return cut(short.unionByName(_long_fit(cut(long), config, tolerance))), packed
+        return written(short), packed
+    return written(short.unionByName(_long_fit(long, config, tolerance))), packed
 
 
 def decode(packed: DataFrame, params: DataFrame, config: CycleConfig = CycleConfig(), length: int = LENGTH) -> DataFrame:
@@ -264,25 +291,20 @@ def decode(packed: DataFrame, params: DataFrame, config: CycleConfig = CycleConf
     """
     k = config.n_states
 
-    def scores(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        start, trans, mean, cov = _unpack(row, k)
-        logs = _log_density(np.asarray(row["x"], float).reshape(-1, DIM), mean, cov)
+    def scores(pdf: pd.DataFrame):
+        start, trans, mean, cov = _unpack(pdf, k)
+        x, valid = _padded(pdf["x"])
         with np.errstate(divide="ignore"):
-            return logs, np.log(trans), np.log(start)
+            return _log_density(x, mean, cov), valid, np.log(trans), np.log(start), (pdf["shard"] == 0).to_numpy()
 
     def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for _, row in pdf.iterrows():
-                logs, trans, start = scores(row)
-                if row["shard"] == 0:
-                    best = np.broadcast_to(start + logs[0], (k, k)).copy()
-                else:
-                    best = trans + logs[0][None, :]
-                for t in range(1, len(logs)):
-                    best = (best[:, :, None] + trans[None]).max(1) + logs[t][None, :]
-                out.append(best.ravel().tolist())
-            yield pd.DataFrame({"symbol": pdf["symbol"], "shard": pdf["shard"], "m": out})
+        for pdf in _blocks(batches):
+            logs, valid, trans, start, first = scores(pdf)
+            best = np.where(first[:, None, None], start[:, None, :], trans) + logs[:, 0, None, :]
+            for t in range(1, logs.shape[1]):
+                ahead = (best[:, :, :, None] + trans[:, None]).max(2) + logs[:, t, None, :]
+                best = np.where(valid[:, t, None, None], ahead, best)
+            yield pd.DataFrame({"symbol": pdf["symbol"], "shard": pdf["shard"], "m": [m.ravel().tolist() for m in best]})
 
     def join_ends(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         """Exit state of every shard of a group, given the group's entry and exit scores."""
@@ -328,24 +350,24 @@ def decode(packed: DataFrame, params: DataFrame, config: CycleConfig = CycleConf
         )
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for _, row in pdf.iterrows():
-                logs, trans, start = scores(row)
-                best = start + logs[0] if row["shard"] == 0 else trans[int(row["into"])] + logs[0]
-                origin = np.zeros((len(logs), k), dtype=int)
-                for t in range(1, len(logs)):
-                    options = best[:, None] + trans
-                    origin[t] = options.argmax(0)
-                    best = options.max(0) + logs[t]
-                state, path = int(row["exit"]), []
-                for t in range(len(logs) - 1, -1, -1):
-                    path.append(state)
-                    state = origin[t][state]
-                first = int(row["shard"]) * length + 1
-                yield pd.DataFrame({"symbol": row["symbol"], "rn": np.arange(first, first + len(logs)), "state": path[::-1]})
+        for pdf in _blocks(batches):
+            logs, valid, trans, start, first = scores(pdf)
+            each = np.arange(len(pdf))
+            best = np.where(first[:, None], start, trans[each, pdf["into"].to_numpy()]) + logs[:, 0]
+            origin = np.zeros(logs.shape, dtype=np.int32)
+            for t in range(1, logs.shape[1]):
+                options = best[:, :, None] + trans
+                origin[:, t] = options.argmax(1)
+                best = np.where(valid[:, t, None], options.max(1) + logs[:, t], best)
+            state, path = pdf["exit"].to_numpy().copy(), np.empty(valid.shape, dtype=np.int32)
+            for t in range(logs.shape[1] - 1, -1, -1):
+                path[:, t] = state
+                state = np.where(valid[:, t], origin[each, t, state], state)
+            at = np.arange(1, logs.shape[1] + 1)[None, :] + pdf["shard"].to_numpy()[:, None] * length
+            yield pd.DataFrame({"symbol": np.repeat(pdf["symbol"].to_numpy(), valid.sum(1)), "rn": at[valid], "state": path[valid]})
 
     fed = packed.join(params, "symbol")
-    mats = cut(fed.mapInPandas(ends, "symbol string, shard long, m array<double>").withColumn("grp", F.floor(F.col("shard") / FAN)))
+    mats = written(fed.mapInPandas(ends, "symbol string, shard long, m array<double>").withColumn("grp", F.floor(F.col("shard") / FAN)))
     tops = mats.groupBy("symbol", "grp").applyInPandas(heads, "symbol string, grp long, m array<double>")
     sides = tops.groupBy("symbol").applyInPandas(outer, "symbol string, grp long, enter array<double>, leave array<double>")
     fixed = mats.join(sides, ["symbol", "grp"]).groupBy("symbol", "grp").applyInPandas(join_ends, "symbol string, shard long, into int, exit int")
