@@ -165,20 +165,24 @@ def streak(df: DataFrame, folds: dict[str, Column], size: int = SIZE, keys: tupl
 def ema(df: DataFrame, source: str, spans: dict[str, int], needed: dict[str, int] | None = None, block: int = 64) -> DataFrame:
     """Recursive exponential means, y = (1-a)*y' + a*x with y0 = x0, as a blocked scan.
 
+    A series starts at its first row with a value; rows before it have none. A later null adds nothing and
+    the mean goes on to decay; fill gaps first where that matters.
+
     Inside a block of 64 rows the recursion is a weighted running sum. The last value of
     a block reaches later blocks with weight (1-a)^64 per block; terms below 1e-18 are
     dropped, so each block feeds a fixed number of followers.
     """
     needed = needed or {}
     pos = (F.col("rn") - 1) % block
-    base = df.withColumn("_blk", F.floor((F.col("rn") - 1) / block)).withColumn("_pos", pos)
+    starts = df.filter(F.col(source).isNotNull()).groupBy("symbol").agg(F.min("rn").alias("_start"))
+    base = df.join(starts, "symbol", "left").withColumn("_blk", F.floor((F.col("rn") - 1) / block)).withColumn("_pos", pos)
     w = Window.partitionBy("symbol", "_blk").orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
     local, ends, reach = [], [], 1
     for name, span in spans.items():
         a = 2.0 / (span + 1)
         d = 1 - a
         reach = max(reach, int(42 / (block * a)) + 1)
-        term = F.when(F.col("rn") == 1, F.col(source)).otherwise(F.col(source) * a)
+        term = F.when(F.col("rn") == F.col("_start"), F.col(source)).otherwise(F.col(source) * a)
         local.append((F.sum(term * F.pow(F.lit(d), -F.col("_pos"))).over(w) * F.pow(F.lit(d), F.col("_pos"))).alias(f"_l_{name}"))
         ends.append(F.sum(term * F.pow(F.lit(d), block - 1 - F.col("_pos"))).alias(f"_e_{name}"))
     steps = F.explode(F.sequence(F.lit(1), F.lit(reach)))
@@ -195,8 +199,8 @@ def ema(df: DataFrame, source: str, spans: dict[str, int], needed: dict[str, int
     out = []
     for name, span in spans.items():
         carry = F.coalesce(F.col(f"_c_{name}"), F.lit(0.0))
-        y = F.col(f"_l_{name}") + F.pow(F.lit(1 - 2.0 / (span + 1)), F.col("_pos") + 1) * carry
-        out.append(F.when(F.col("rn") >= needed.get(name, 1), y).alias(name))
+        y = F.coalesce(f"_l_{name}", F.lit(0.0)) + F.pow(F.lit(1 - 2.0 / (span + 1)), F.col("_pos") + 1) * carry
+        out.append(F.when(F.col("rn") - F.col("_start") >= needed.get(name, 1) - 1, y).alias(name))
     return joined.select(*df.columns, *out)
 
 

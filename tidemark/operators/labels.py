@@ -26,8 +26,9 @@ def move(df: DataFrame, horizon: int, config: LabelConfig = LabelConfig(), compa
     The last ``horizon`` rows have no full future: null, or 0 with ``compat``.
     """
     c, a = F.col("close"), F.col("atr_14")
+    # structs, as collecting bare values would skip null closes and shift the rows after them
     future = F.transform(
-        F.collect_list("close").over(rows(1, horizon)), lambda x: F.try_divide(x - c, c)
+        F.collect_list(F.struct("close")).over(rows(1, horizon)), lambda x: F.try_divide(x["close"] - c, c)
     )
     df = df.withColumn("_f", future)
     up = F.array_position(F.transform("_f", lambda x: x >= F.try_divide(config.atr_up * a, c)), True)
@@ -61,10 +62,7 @@ def consolidation(df: DataFrame, config: LabelConfig = LabelConfig()) -> DataFra
     past, near = rows(-hi, -1), rows(-lo, -1)
     df = df.withColumns(
         {
-            "_h": F.collect_list("high").over(past),
-            "_l": F.collect_list("low").over(past),
-            "_a": F.collect_list("atr_14").over(past),
-            "_v": F.collect_list(F.coalesce("volume", F.lit(float("nan")))).over(past),
+            "_p": F.collect_list(F.struct("high", "low", "atr_14", "volume")).over(past),
             "_range": F.max("high").over(near) - F.min("low").over(near),
             "_amax": F.max("atr_14").over(past),
             "_cmax": F.max("close").over(rows(0, config.confirm_days - 1)),
@@ -73,15 +71,18 @@ def consolidation(df: DataFrame, config: LabelConfig = LabelConfig()) -> DataFra
         }
     )
 
-    def newest(a: str, k: Column) -> Column:
-        return F.slice(a, -k, k)
+    def newest(field: str, k: Column) -> Column:
+        return F.slice("_p", -k, k)[field]
+
+    def median(field: str, k: Column) -> Column:
+        return sorted_quantile(F.sort_array(F.array_compact(newest(field, k))), 0.5)
 
     def candidate(k: Column) -> Column:
         return F.struct(
             k.alias("days"),
-            F.array_max(newest("_h", k)).alias("high"),
-            F.array_min(newest("_l", k)).alias("low"),
-            sorted_quantile(F.sort_array(newest("_a", k)), 0.5).alias("median"),
+            F.array_max(newest("high", k)).alias("high"),
+            F.array_min(newest("low", k)).alias("low"),
+            median("atr_14", k).alias("median"),
         )
 
     fits = F.filter(
@@ -89,12 +90,12 @@ def consolidation(df: DataFrame, config: LabelConfig = LabelConfig()) -> DataFra
         lambda s: s["high"] - s["low"] <= config.width_multiplier * s["median"],
     )
     # No look-back can fit unless the shortest range is within the largest ATR of the frame,
-    # which spares most rows the search.
-    possible = (F.col("rn") > hi) & usable() & (F.col("_range") <= config.width_multiplier * F.col("_amax"))
+    # which spares most rows the search. Without a price in the shortest range only longer ones can tell.
+    narrow = F.col("_range").isNull() | (F.col("_range") <= config.width_multiplier * F.col("_amax"))
+    possible = (F.col("rn") > hi) & usable() & narrow
     df = df.withColumn("_s", F.when(possible, F.get(fits, F.lit(0))))
     s = F.col("_s")
-    clean_volume = F.filter(newest("_v", s["days"]), lambda x: ~F.isnan(x))
-    df = df.withColumn("_vmed", F.when(s.isNotNull(), sorted_quantile(F.sort_array(clean_volume), 0.5)))
+    df = df.withColumn("_vmed", F.when(s.isNotNull(), median("volume", s["days"])))
     level = s["high"] + config.breakout_atr * F.col("atr_14")
     confirmed = (
         F.when(F.col("_vmax").isNull(), True)
@@ -112,7 +113,7 @@ def consolidation(df: DataFrame, config: LabelConfig = LabelConfig()) -> DataFra
             "false_breakout": flag((broke == 1) & (F.col("rn") <= F.col("n") - config.false_window) & fell),
         }
     )
-    return df.drop("_h", "_l", "_a", "_v", "_range", "_amax", "_cmax", "_cmin", "_vmax", "_s", "_vmed")
+    return df.drop("_p", "_range", "_amax", "_cmax", "_cmin", "_vmax", "_s", "_vmed")
 
 
 def reversal(df: DataFrame, config: LabelConfig = LabelConfig()) -> DataFrame:

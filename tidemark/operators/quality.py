@@ -208,23 +208,27 @@ def clean(bars: DataFrame, config: QualityConfig = QualityConfig(), method: str
     raise ValueError(f"unknown method {method}")
 
 
-def preprocess(bars: DataFrame, config: QualityConfig = QualityConfig(), size: int = SIZE) -> DataFrame:
+def preprocess(bars: DataFrame, config: QualityConfig = QualityConfig(), size: int = SIZE, method: str = "forward_fill") -> DataFrame:
     """Clean rows with log return, ATR 14/20/40 and normalised prices."""
-    framed = with_halo(clean(bars, config, size=size), before=config.normalization_window + 1, size=size)
+    framed = with_halo(clean(bars, config, method, size), before=config.normalization_window + 1, size=size)
     framed = with_returns_and_range(framed)
     framed = framed.withColumns({f"atr_{w}": atr(w) for w in (14, 20, 40)})
     framed = normalize(framed, config.normalization, config.normalization_window)
     return core_rows(framed).drop("true_range")
 
 
-def metadata(bars: DataFrame, config: QualityConfig = QualityConfig(), size: int = SIZE) -> DataFrame:
-    """One row per symbol about the preprocessed bars; every input row is kept by forward fill."""
+def metadata(bars: DataFrame, config: QualityConfig = QualityConfig(), size: int = SIZE, method: str = "forward_fill") -> DataFrame:
+    """One row per symbol about the preprocessed bars; filling keeps every row, dropping those without a gap in any column."""
     flagged = flag_outliers(cut(position(validate(bars, config), size=size)), config, size)
+    whole = F.lit(True)
+    if method == "drop":
+        for c in (*VALUES, "return", "gap"):
+            whole = whole & F.col(c).isNotNull()
     return flagged.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("n_rows_initial"),
         F.min("ts").alias("first_ts"),
         F.max("ts").alias("last_ts"),
         (F.count("volume") > 0).alias("has_volume"),
         F.sum(F.col("is_outlier").cast("int")).alias("n_outliers"),
-        F.count(F.lit(1)).alias("n_rows_after_cleaning"),
+        F.count_if(whole).alias("n_rows_after_cleaning"),
     )

@@ -14,9 +14,9 @@ from tidemark.session import cut
 from tidemark.sources.bars import date_range
 
 
-def prepared(bars: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def prepared(bars: DataFrame, settings: Settings = Settings(), method: str = "forward_fill") -> DataFrame:
     """Clean rows with positions, written once: features, labels and the rest read them."""
-    return cut(Q.clean(bars, settings.quality))
+    return cut(Q.clean(bars, settings.quality, method))
 
 
 def feature_table(clean: DataFrame, settings: Settings = Settings()) -> DataFrame:
