@@ -146,3 +146,17 @@ def test_manifests_name_real_columns_and_keep_labels_out(bars):
     made = L.labels(placed).columns
     assert all(set(g) <= set(made) for g in groups.values())
     assert not set(names) & set(made[2:])
+
+
+def test_numbering_windows_are_bounded_from_seconds_to_days(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators.frame import SIZE, bucket_of, position
+
+    for step in (1, 60, 3600, 86400):
+        ts = F.timestamp_seconds(F.lit(1_600_000_000) + F.col("id") * step)
+        made = spark.range(20_000).select(F.lit("X").alias("symbol"), ts.alias("ts"), (F.col("id") + 1).alias("want"))
+        most = made.groupBy(bucket_of(F.col("ts"))).count().agg(F.max("count")).first()[0]
+        assert most <= SIZE
+        numbered = position(made)
+        assert numbered.filter("rn = want and n = 20000").count() == 20_000

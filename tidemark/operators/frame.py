@@ -65,16 +65,20 @@ def prefix(
     )
 
 
-def position(bars: DataFrame, grain_seconds: int = 86400, size: int = SIZE, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+def bucket_of(ts: Column, grain_seconds: int = 1, size: int = SIZE) -> Column:
+    """Number of the stretch of time that holds at most ``size`` bars of ``grain_seconds`` or longer."""
+    return F.floor(F.unix_seconds(ts.cast("timestamp")) / (grain_seconds * size))
+
+
+def position(bars: DataFrame, grain_seconds: int = 1, size: int = SIZE, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """Add ``rn`` (1-based position per series) and ``n`` (series length).
 
-    Bars are unique per (key, ts) at ``grain_seconds``, so a calendar bucket of
-    ``grain_seconds * size`` holds at most about ``size`` rows of a series; only bucket counts
-    are chained across the series.
+    Bars are unique per (key, ts), so a stretch of time of ``grain_seconds * size`` holds at most
+    ``size`` rows of a series, from second bars to daily ones; only the stretches' counts are chained
+    across the series. Bars shorter than a second make windows that many times longer.
     """
     ks = list(keys)
-    days = max(1, grain_seconds * size // 86400)
-    bucket = F.floor(F.unix_date(F.col("ts").cast("date")) / days)
+    bucket = bucket_of(F.col("ts"), grain_seconds, size)
     counts = bars.groupBy(*ks, bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_rows"))
     offsets = prefix(counts, ks, "_bucket", {"_rows": "sum"}, grand=True)
     local = Window.partitionBy(*ks, "_bucket").orderBy("ts")
@@ -105,7 +109,7 @@ def core_rows(framed: DataFrame) -> DataFrame:
     return framed.filter("core").drop("core", "shard")
 
 
-def frame(bars: DataFrame, before: int = 0, after: int = 0, size: int = SIZE, grain_seconds: int = 86400) -> DataFrame:
+def frame(bars: DataFrame, before: int = 0, after: int = 0, size: int = SIZE, grain_seconds: int = 1) -> DataFrame:
     return with_halo(position(bars, grain_seconds, size), before, after, size)
 
 
