@@ -210,14 +210,13 @@ def explain_signals(scored: DataFrame, importance: list[tuple[str, float]], thre
 
 
 def prediction_report(scored: DataFrame, explained: DataFrame, names: list[str], matches: DataFrame | None = None, regimes: DataFrame | None = None) -> DataFrame:
-    """One structured row per prediction: score, signal, five factors, matched patterns, regime."""
+    """One structured row per prediction: score, signal, five factors, all matched patterns by name, regime."""
     factors = ranked(explained, names, 5).select(
         "symbol", "ts", F.transform("factors", lambda f: F.struct(f["feature"].alias("feature"), f["value"].alias("value"), F.abs(f["attribution"]).alias("attribution"))).alias("factors")
     )
     out = scored.select("symbol", "ts", "score", decision(F.col("score"), 0.5).alias("signal")).join(factors, ["symbol", "ts"])
     if matches is not None:
-        # Pattern names are few per row; the report shows the first five.
-        named = matches.groupBy("symbol", "ts").agg(F.slice(F.sort_array(F.collect_set("pattern_name")), 1, 5).alias("patterns"))
+        named = matches.groupBy("symbol", "ts").agg(F.sort_array(F.collect_set("pattern_name")).alias("patterns"))
         out = out.join(named, ["symbol", "ts"], "left")
     if regimes is not None:
         out = out.join(regimes.select("symbol", "ts", F.col("market_regime").alias("regime")), ["symbol", "ts"], "left")
