@@ -266,18 +266,3 @@ register(
     f"WITH {BARS_SQL} SELECT a.symbol, a.rn - b.rn AS lag, {r('corr(a.close, b.close)', 'acf')} FROM placed a JOIN placed b ON a.symbol = b.symbol AND a.rn > b.rn AND a.rn <= b.rn + 100 GROUP BY a.symbol, a.rn - b.rn",
 )
 register("saved_model_scores", _saved_model)
-
-
-def _all_features(s, d):
-    """Every model feature in one plan."""
-    names = X.feature_names()
-    return stages.feature_table(cut(placed(s, d))).select("symbol", F.col("ts").cast("string").alias("ts"), *[F.round(F.col(n).cast("double"), 6).alias(n) for n in names])
-
-
-def _all_labels(s, d):
-    names = [n for n in L.label_columns()["all_outputs"] if n != "market_regime"]
-    return stages.label_table(cut(placed(s, d))).select("symbol", F.col("ts").cast("string").alias("ts"), "market_regime", *[F.round(F.col(n).cast("double"), 6).alias(n) for n in names])
-
-
-register("all_features", _all_features)
-register("all_labels", _all_labels)
