@@ -39,14 +39,14 @@ def templates(w):
 
 register(
     "subsequences",
-    lambda s, d: out(wins(s, d).withColumns({"z_first": F.get("z", F.lit(0)), "z_middle": F.get("z", F.lit(10)), "z_last": F.get("z", F.lit(19))}), z_first=6, z_middle=6, z_last=6),
-    f"WITH {WIN_SQL} SELECT {KEY}, {r('z[1]', 'z_first')}, {r('z[11]', 'z_middle')}, {r('z[20]', 'z_last')} FROM wins",
+    lambda s, d: out(wins(s, d).withColumns({f"z{i}": F.get("z", F.lit(i)) for i in range(M)}), **{f"z{i}": 6 for i in range(M)}),
+    f"WITH {WIN_SQL} SELECT {KEY}, {', '.join(r(f'z[{i + 1}]', f'z{i}') for i in range(M))} FROM wins",
 )
 register(
     "matrix_profile",
-    lambda s, d: out(P.profile(cut(wins(s, d)), M), ("rn",), keys=("symbol",), distance=6),
+    lambda s, d: out(P.profile(cut(wins(s, d)), M), ("rn", "neighbour"), keys=("symbol",), distance=6),
     f"""WITH {WIN_SQL}, f AS (SELECT symbol, rn, CAST(z AS DOUBLE[{M}]) AS z FROM wins)
-    SELECT a.symbol, a.rn, {r('min(array_distance(a.z, b.z))', 'distance')} FROM f a JOIN f b ON a.symbol = b.symbol AND abs(a.rn - b.rn) > 5 GROUP BY a.symbol, a.rn""",
+    SELECT a.symbol, a.rn, {r('min(array_distance(a.z, b.z))', 'distance')}, arg_min(b.rn, (array_distance(a.z, b.z), b.rn)) AS neighbour FROM f a JOIN f b ON a.symbol = b.symbol AND abs(a.rn - b.rn) > 5 GROUP BY a.symbol, a.rn""",
 )
 
 
@@ -76,19 +76,19 @@ register(
     "cluster_info",
     lambda s, d: P.cluster_info(_tagged(wins(s, d)), M).select(
         "symbol", F.col("label").cast("bigint").alias("label"), "size", F.round("std", 6).alias("std"),
-        *[(F.round(F.get("centroid", F.lit(i)), 6) + 0.0).alias(f"c{i}") for i in (0, 7, 19)],
+        *[(F.round(F.get("centroid", F.lit(i)), 6) + 0.0).alias(f"c{i}") for i in range(M)],
     ),
     f"""WITH {WIN_SQL}, t AS (SELECT *, (list_position(z, list_max(z)) - 1) // 7 AS label FROM wins),
     e AS (SELECT symbol, label, i, avg(z[i]) AS c, stddev_pop(z[i]) AS sd FROM t, range(1, 21) g(i) GROUP BY ALL),
     k AS (SELECT symbol, label, count(*) AS size FROM t GROUP BY ALL)
-    SELECT symbol, CAST(label AS BIGINT) AS label, any_value(size) AS size, {r('avg(sd)', 'std')}, {', '.join(r(f'max(CASE WHEN i = {i + 1} THEN c END)', f'c{i}') for i in (0, 7, 19))}
+    SELECT symbol, CAST(label AS BIGINT) AS label, any_value(size) AS size, {r('avg(sd)', 'std')}, {', '.join(r(f'max(CASE WHEN i = {i + 1} THEN c END)', f'c{i}') for i in range(M))}
     FROM e JOIN k USING (symbol, label) GROUP BY symbol, label""",
 )
 
 
 def _hits(s, d):
     w = cut(wins(s, d))
-    return P.occurrences(w, P.templates_of(templates(w)), 5.0)
+    return P.occurrences(w, templates(w), 5.0, M)
 
 
 HITS_SQL = WIN_SQL + """,

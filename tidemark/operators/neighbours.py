@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.session import cut
 
-CELL_ROWS, TILE_QUERIES, CHUNK = 1024, 4096, 512
+CELL_ROWS, TILE_QUERIES, CHUNK, TIED = 1024, 4096, 512, 64
 
 
 def signature(df: DataFrame, m: int) -> DataFrame:
@@ -26,6 +26,8 @@ def signature(df: DataFrame, m: int) -> DataFrame:
     root = float(np.sqrt(quarter))
 
     def part(i: int) -> Column:
+        if not quarter:  # fewer than four places: the values themselves
+            return F.coalesce(F.get("z", F.lit(i)), F.lit(0.0))
         return F.aggregate(F.slice("z", i * quarter + 1, quarter), F.lit(0.0), lambda s, x: s + x) / root
 
     df = df.withColumns({f"_p{i}": part(i) for i in range(4)})
@@ -36,17 +38,29 @@ def signature(df: DataFrame, m: int) -> DataFrame:
 
 
 def _best(a: np.ndarray, pos_a: np.ndarray, b: np.ndarray, pos_b: np.ndarray, k: int, apart: int):
-    """The k nearest rows of ``b`` for every row of ``a`` that are more than ``apart`` away."""
+    """The k nearest rows of ``b`` for every row of ``a`` that are more than ``apart`` away, ties to the smaller position.
+
+    Candidates are all rows up to the k-th distance and a margin for its rounding, so ties are decided exactly;
+    rows of ``a`` with many candidates are taken a few at a time.
+    """
     squares = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
     squares[np.abs(pos_a[:, None] - pos_b[None, :]) <= apart] = np.inf
-    take = min(k + 4, b.shape[0])
-    picked = np.argpartition(squares, take - 1, axis=1)[:, :take]
-    allowed = np.isfinite(np.take_along_axis(squares, picked, 1))
-    exact = np.sqrt(((a[:, None, :] - b[picked]) ** 2).sum(2))
-    exact[~allowed] = np.inf
-    where = pos_b[picked]
-    order = np.lexsort((where, exact), axis=1)[:, :k]
-    return np.take_along_axis(exact, order, 1), np.take_along_axis(where, order, 1)
+    k = min(k, b.shape[0])
+    kth = np.partition(squares, k - 1, axis=1)[:, k - 1]
+    slack = 1e-9 * ((a * a).sum(1) + (b * b).sum(1).max() + 1)
+    near = np.where(np.isfinite(kth), (squares <= (kth + slack)[:, None]).sum(1), k)
+    found, where = np.empty((len(a), k)), np.empty((len(a), k), pos_b.dtype)
+    usual = near <= k + 4
+    many = np.flatnonzero(~usual)
+    for rows, take in ((np.flatnonzero(usual), k + 4), *((many[s : s + TIED], b.shape[0]) for s in range(0, len(many), TIED))):
+        take = min(take, b.shape[0])
+        picked = np.argpartition(squares[rows], take - 1, axis=1)[:, :take]
+        exact = np.sqrt(((a[rows][:, None, :] - b[picked]) ** 2).sum(2))
+        exact[~np.isfinite(np.take_along_axis(squares[rows], picked, 1))] = np.inf
+        order = np.lexsort((pos_b[picked], exact), axis=1)[:, :k]
+        found[rows] = np.take_along_axis(exact, order, 1)
+        where[rows] = np.take_along_axis(pos_b[picked], order, 1)
+    return found, where
 
 
 def _with_radius(df: DataFrame, k: int, apart: int) -> DataFrame:
@@ -78,22 +92,23 @@ def nearest(windows: DataFrame, m: int, k: int = 1, apart: int = 0) -> DataFrame
     ``apart`` is the exclusion zone: neighbours start more than that many rows away.
     """
     points = cut(_with_radius(signature(windows.select("symbol", "rn", "z"), m), k, apart))
-    # Cells of about CELL_ROWS / 2 rows in the largest series; |signature| <= sqrt(m).
-    largest = points.groupBy("symbol").count().agg(F.max("count")).first()[0] or 1
-    edge = int(np.clip(round((largest * 2 / CELL_ROWS) ** (1 / 3) / 2), 1, 512))
-    width = float(np.sqrt(m)) * (1 + 1e-9) / edge
+    # Cells of about CELL_ROWS / 2 rows of each series; |signature| <= sqrt(m).
+    count = F.count(F.lit(1)) * 2 / CELL_ROWS
+    edges = points.groupBy("symbol").agg(F.greatest(F.lit(1.0), F.round(F.cbrt(count) / 2)).cast("long").alias("_edge"))
+    points = points.join(edges, "symbol").withColumn("_width", float(np.sqrt(m)) * (1 + 1e-9) / F.col("_edge"))
+    edge, width = F.col("_edge"), F.col("_width")
 
     def index(c: str | Column) -> Column:
         return F.floor((F.col(c) if isinstance(c, str) else c) / width)
 
     def code(x: Column, y: Column, z: Column) -> Column:
-        return ((x + edge) * 2048 + (y + edge)) * 2048 + (z + edge)
+        return ((x + edge) * (2 * edge) + (y + edge)) * (2 * edge) + (z + edge)
 
     points = points.withColumn("cell", code(index("q0"), index("q1"), index("q2")))
 
     def span(c: str) -> Column:
-        low = F.greatest(F.lit(-edge), index(F.col(c) - F.col("radius")))
-        high = F.least(F.lit(edge - 1), index(F.col(c) + F.col("radius")))
+        low = F.greatest(-edge, index(F.col(c) - F.col("radius")))
+        high = F.least(edge - 1, index(F.col(c) + F.col("radius")))
         reach = F.col("radius") < 1e9
         return F.sequence(
             F.when(reach, low).otherwise(-edge).cast("long"), F.when(reach, high).otherwise(edge - 1).cast("long")
@@ -132,7 +147,7 @@ def nearest(windows: DataFrame, m: int, k: int = 1, apart: int = 0) -> DataFrame
 
     def tile(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({"symbol": [], "rn": [], "distance": [], "other": []})
+            return pd.DataFrame({"symbol": pd.Series([], dtype=object), "rn": np.array([], "int64"), "distance": np.array([], float), "other": np.array([], "int64")})
         d, w = _best(np.vstack(a["z"].values), a["rn"].values, np.vstack(b["z_r"].values), b["rn_r"].values, k, apart)
         rows, cols = np.nonzero(d <= a["radius"].values[:, None])
         ok = np.isfinite(d[rows, cols])

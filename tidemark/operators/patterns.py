@@ -11,11 +11,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidemark.config import PatternConfig
 from tidemark.functions.exprs import EPS, distance, lead, ratio, rows, sorted_quantile, zscale
 from tidemark.operators.frame import SIZE, core_rows, grouped_quantile, with_halo
-from tidemark.operators.neighbours import nearest
+from tidemark.operators.neighbours import nearest, signature
 from tidemark.session import cut
 
-TEMPLATE_LIMIT = 1000
-
 
 def windows(positioned: DataFrame, m: int = 20, c: str = "close", size: int = SIZE) -> DataFrame:
     """Sliding windows by start row: raw values and z-normalised values."""
@@ -173,25 +171,28 @@ def cluster_info(labelled: DataFrame, m: int, keys: tuple[str, ...] = ("symbol",
     )
 
 
-def templates_of(table: DataFrame, limit: int = TEMPLATE_LIMIT) -> list[tuple[str, list[float]]]:
-    """Templates are query parameters: fetched once, and refused beyond ``limit``."""
-    found = table.select("pattern_name", "pattern").limit(limit + 1).collect()
-    if len(found) > limit:
-        raise ValueError(f"more than {limit} templates")
-    return sorted((r["pattern_name"], list(r["pattern"])) for r in found)
-
-
-def _with_templates(wins: DataFrame, templates: list[tuple[str, list[float]]]) -> DataFrame:
-    literal = F.array(
-        *[F.struct(F.lit(n).alias("pattern_name"), F.array(*[F.lit(float(x)) for x in p]).alias("pattern")) for n, p in templates]
-    )
-    return wins.select("*", F.inline(literal))
-
+def occurrences(wins: DataFrame, templates: DataFrame, radius: float = 0.1, m: int = 20) -> DataFrame:
+    """Windows (of length ``m``) within ``radius`` of the normalised patterns of a table (pattern_name, pattern), any number of them.
 
-def occurrences(wins: DataFrame, templates: list[tuple[str, list[float]]], radius: float = 0.1) -> DataFrame:
-    """Windows within ``radius`` of a normalised pattern, in one scan for all patterns."""
-    near = _with_templates(wins, templates).withColumn("distance", distance(F.col("z"), F.col("pattern")))
-    return near.filter(F.col("distance") <= radius).drop("pattern")
+    Signatures never lie further apart than the shapes do, so a pattern only meets windows in the cells of side
+    ``2 * radius`` that its own ball touches, eight at most. The join is on cells; Spark broadcasts the
+    patterns while their measured size allows and shuffles both sides beyond it.
+    """
+    side = max(2 * radius, EPS)
+    corner = ("_c0", "_c1", "_c2")
+
+    def cell(c: Column) -> Column:
+        return F.floor(c / side)
+
+    marked = signature(wins, m)
+    placed = marked.withColumns({c: cell(F.col(f"q{i}")) for i, c in enumerate(corner)}).drop("q0", "q1", "q2")
+    asked = signature(templates.select("pattern_name", F.col("pattern").alias("z")), m)
+    for i, c in enumerate(corner):
+        slack = radius * (1 + 1e-9) + EPS
+        asked = asked.withColumn(c, F.explode(F.sequence(cell(F.col(f"q{i}") - slack), cell(F.col(f"q{i}") + slack))))
+    near = placed.join(asked.select(*corner, "pattern_name", F.col("z").alias("_pattern")), list(corner))
+    near = near.withColumn("distance", distance(F.col("z"), F.col("_pattern"))).filter(F.col("distance") <= radius)
+    return near.drop(*corner, "_pattern")
 
 
 def forward_power(
