@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -27,9 +26,8 @@ from tidemark.sources import sinks
 
 QUERIES, SQL = {}, {}
 KEY = "symbol, CAST(ts AS VARCHAR) AS ts"
-#: Fewer and shallower trees than the defaults, so that a check takes seconds.
-SMALL = Settings(models=ModelConfig(trees=15, depth=4, learning_rate=0.2))
-_TRAINED: dict[tuple[int, str], dict] = {}
+DEFAULT = Settings()
+_TRAINED: dict[tuple[str, str], dict] = {}
 
 
 def register(name, query, sql=None):
@@ -39,11 +37,11 @@ def register(name, query, sql=None):
 
 
 def trained(s, d):
-    """The model several queries below read; fitted once per session and data set."""
-    key = (id(s), d)
+    """The model several queries below read; fitted once per application and data set."""
+    key = (s.sparkContext.applicationId, d)
     if key not in _TRAINED:
-        clean = stages.prepared(bars(s, d), SMALL)
-        _TRAINED[key] = {"clean": clean, **stages.train(clean, settings=SMALL)}
+        clean = stages.prepared(bars(s, d), DEFAULT)
+        _TRAINED[key] = {"clean": clean, **stages.train(clean, settings=DEFAULT)}
     return _TRAINED[key]
 
 
@@ -89,7 +87,7 @@ register(
 def _network(s, d):
     rows = M.sequences(_sequence_source(s, d), ["ret", "range"], 15)
     labelled = rows.join(scored(s, d).select("symbol", "ts", F.col("label").cast("double").alias("label")), ["symbol", "ts"])
-    net, flat = M.sequence_network(cut(labelled), 15, 2, rounds=20)
+    net, flat = M.sequence_network(cut(labelled), 15, 2)
     return net.transform(flat).groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -107,7 +105,7 @@ def _regression(s, d):
     target = core_rows(target).select("symbol", "ts", F.col("magnitude_move_10d").alias("label"))
     names = t["names"]
     rows = cut(t["rows"].drop("label").join(target, ["symbol", "ts"]))
-    model = M.boosted_trees(rows, names, "regression", SMALL.models)
+    model = M.boosted_trees(rows, names, "regression", DEFAULT.models)
     return MT.regression(M.predict(model, rows.filter("role = 'test'"), names))
 
 
@@ -115,8 +113,12 @@ def _multiclass(s, d):
     t = trained(s, d)
     target = core_rows(L.move(L.base(with_halo(t["clean"], before=15, after=10)), 10)).select("symbol", "ts", (F.col("label_move_10d") + 1).cast("double").alias("label"))
     rows = cut(t["rows"].drop("label").join(target.filter("label IS NOT NULL"), ["symbol", "ts"]))
-    model = M.boosted_trees(rows, t["names"], "multiclass", replace(SMALL.models, trees=5, depth=3))
-    return MT.classification(M.predict(model, rows.filter("role = 'test'"), t["names"]))
+    model = M.boosted_trees(rows, t["names"], "multiclass", DEFAULT.models)
+    test = cut(M.predict(model, rows.filter("role = 'test'"), t["names"]).select("label", "prediction", "probabilities"))
+    labels = sorted(M.class_columns(model))
+    auc = MT.one_vs_rest_auc(test, len(labels), classes=labels)
+    sides = [MT.tall(MT.classification(test), ("rows", "accuracy", "precision", "recall", "f1")), MT.tall(auc, ("auc_roc",))]
+    return sides[0].unionByName(sides[1])
 
 
 register("gbt_regression_metrics", _regression)
@@ -124,13 +126,12 @@ register("gbt_multiclass_metrics", _multiclass)
 
 
 def _cross_validation(s, d):
-    names = ["momentum_10", "rsi_20", "volatility_20", "macd", "bb_position_20"]
+    names = trained(s, d)["names"]
     rows = folds.fold_rows(cut(trained(s, d)["rows"].select("symbol", "ts", *names, "label")))
-    config = ModelConfig(trees=4, depth=3, class_weights=False)
 
     def fit(train, val):
         both = train.withColumn("role", F.lit("train")).unionByName(val.withColumn("role", F.lit("validation")))
-        return M.boosted_trees(both, names, "binary", config)
+        return M.boosted_trees(both, names, "binary", DEFAULT.models)
 
     def score(scored_rows):
         return MT.tall(MT.classification(scored_rows), ("accuracy", "precision", "recall", "f1"))
@@ -141,7 +142,7 @@ def _cross_validation(s, d):
 register("cross_validation", _cross_validation)
 register(
     "strategy_backtest",
-    lambda s, d: stages.backtest_scores(trained(s, d)["clean"], trained(s, d)["test"], 0.5, SMALL)["metrics"],
+    lambda s, d: stages.backtest_scores(trained(s, d)["clean"], trained(s, d)["test"], 0.5, DEFAULT)["metrics"],
 )
 
 # ---- attributions ----------------------------------------------------------------------
@@ -154,7 +155,7 @@ def explained(s, d):
 
 register("attribution_margin", lambda s, d: out(explained(s, d), base=6, margin=6))
 register("attribution_importance", lambda s, d: E.global_importance(explained(s, d), trained(s, d)["names"]))
-register("instance_explanations", lambda s, d: out(E.instance_explanations(explained(s, d), trained(s, d)["names"], 5), ("rank",), keys=("symbol", "ts", "feature"), attribution=6, value=6))
+register("instance_explanations", lambda s, d: out(E.instance_explanations(explained(s, d), trained(s, d)["names"]), ("rank",), keys=("symbol", "ts", "feature"), attribution=6, value=6))
 
 
 def _linear(s, d):
@@ -218,7 +219,7 @@ def _report(s, d):
 register("prediction_report", _report)
 register(
     "score_and_explain",
-    lambda s, d: stages.score_and_explain(bars(s, d), trained(s, d)["model"], start="1998-06-01", settings=SMALL).select(
+    lambda s, d: stages.score_and_explain(bars(s, d), trained(s, d)["model"], start="1998-06-01", settings=DEFAULT).select(
         "symbol", F.col("ts").cast("string").alias("ts"), F.round("score", 6).alias("score"), "signal", F.to_json("factors").alias("factors")
     ),
 )

@@ -82,3 +82,32 @@ def test_dtw_matches_the_recurrence(spark, bars):
     table = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(z)], "i long, z array<double>")
     got = table.select("i", P.dtw(pattern.tolist())("z").alias("d")).orderBy("i").toPandas().d
     np.testing.assert_allclose(got, [dtw(row, pattern) for row in z], rtol=1e-12, atol=1e-12)
+
+
+def test_occurrences_of_many_templates_are_exact_and_without_a_cross_join(spark, bars):
+    df, pdf = bars
+    wins = cut(P.windows(position(df), 20))
+    z = z_of(pdf[pdf.symbol == "X"].close.to_numpy(), 20)
+    shapes = np.concatenate([z + 0.01 * i for i in range(3)])  # 1,743 templates
+    table = spark.createDataFrame([(f"p{i}", p.tolist()) for i, p in enumerate(shapes)], "pattern_name string, pattern array<double>")
+    for radius in (0.1, 2.5):
+        hits = P.occurrences(wins, table, radius)
+        assert "CartesianProduct" not in hits._jdf.queryExecution().toString() and "NestedLoop" not in hits._jdf.queryExecution().toString()
+        got = {(r.rn, r.pattern_name) for r in hits.filter("symbol = 'X'").select("rn", "pattern_name").collect()}
+        d = np.sqrt(((z[:, None] - shapes[None]) ** 2).sum(2))
+        clear = np.abs(d - radius) > 1e-9
+        want = {(int(a) + 1, f"p{b}") for a, b in zip(*np.nonzero((d <= radius) & clear))}
+        assert want <= got and len(got - want) <= (~clear).sum()
+
+
+def test_equal_distances_go_to_the_smallest_position(spark):
+    rows = [("s", i + 1, [float(i % 3 == j) for j in range(8)]) for i in range(300)]
+    found = N.nearest(spark.createDataFrame(rows, "symbol string, rn long, z array<double>"), 8, 2, 0).toPandas()
+    for rn, near in zip(found.rn, found.neighbours):
+        same = [k for k in range(1, 301) if (k - rn) % 3 == 0 and k != rn][:2]
+        assert [n["rn"] for n in near] == same and all(n["distance"] == 0 for n in near)
+
+
+def test_neighbours_of_an_empty_table(spark):
+    empty = spark.createDataFrame([], "symbol string, rn long, z array<double>")
+    assert N.nearest(empty, 8, 1, 0).count() == 0

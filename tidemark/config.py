@@ -80,6 +80,7 @@ class ModelConfig:
     learning_rate: float = 0.05
     train_share: float = 0.8
     validation_share: float = 0.1
+    validation_tolerance: float = 0.0
     class_weights: bool = True
     focal_alpha: float = 0.25
     focal_gamma: float = 2.0

@@ -93,12 +93,13 @@ def ranking(df: DataFrame, keys: tuple[str, ...] = (), partitions: int | None =
     return out if keys else out.drop("_all")
 
 
-def one_vs_rest_auc(df: DataFrame, n_classes: int, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Mean over classes of each class's AUC; ``probabilities`` is an array per row."""
+def one_vs_rest_auc(df: DataFrame, n_classes: int, keys: tuple[str, ...] = (), classes: list[float] | None = None) -> DataFrame:
+    """Mean over classes of each class's AUC; ``probabilities`` is an array per row, one place per class (labels 0, 1, ... unless named)."""
     per_class = df.select(*keys, "label", F.posexplode("probabilities").alias("class", "score")).filter(
         F.col("class") < n_classes
     )
-    each = ranking(per_class.withColumn("label", (F.col("label") == F.col("class")).cast("int")), (*keys, "class"))
+    label = F.get(F.array(*[F.lit(float(c)) for c in classes]), F.col("class")) if classes else F.col("class")
+    each = ranking(per_class.withColumn("label", (F.col("label") == label).cast("int")), (*keys, "class"))
     return each.groupBy(*keys).agg(F.avg("auc_roc").alias("auc_roc"))
 
 

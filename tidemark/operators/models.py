@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, OneVsRest
+from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor
@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.config import ModelConfig
 from tidemark.functions.exprs import back
 from tidemark.operators.frame import SIZE, core_rows, grouped_quantile, with_halo
+from tidemark.session import cut
+
+CLASS = "class_"  # how the probability columns of one class against the rest begin
 
 
 def cut_date(df: DataFrame, share: float):
@@ -70,10 +73,14 @@ def _fit_rows(rows: DataFrame) -> DataFrame:
 
 
 def boosted_trees(rows: DataFrame, names: list[str], kind: str = "binary", config: ModelConfig = ModelConfig()) -> PipelineModel:
-    """Gradient-boosted trees for ``binary``, ``regression`` or ``multiclass`` labels."""
+    """Gradient-boosted trees for ``binary``, ``regression`` or ``multiclass`` labels.
+
+    Boosting ends with the first tree that does not lower the validation error by the tolerance's share.
+    """
     common = dict(
         featuresCol="features", labelCol="label", maxDepth=config.depth, stepSize=config.learning_rate,
         seed=config.seed, validationIndicatorCol="is_validation", maxIter=config.trees,
+        validationTol=config.validation_tolerance,
     )
     if kind == "regression":
         stage = GBTRegressor(**common)
@@ -82,28 +89,59 @@ def boosted_trees(rows: DataFrame, names: list[str], kind: str = "binary", confi
         stage = GBTClassifier(weightCol="weight", **common)
         fit_rows = _fit_rows(weighted(rows, config))
     elif kind == "multiclass":
-        common.pop("validationIndicatorCol")
-        stage = OneVsRest(classifier=GBTClassifier(**common), labelCol="label", featuresCol="features", weightCol="weight")
-        fit_rows = _fit_rows(weighted(rows, config))
+        return _one_vs_rest(rows, names, common, config)
     else:
         raise ValueError(f"unknown kind {kind}")
     return Pipeline(stages=[_assembler(names), stage]).fit(fit_rows)
 
 
+def _one_vs_rest(rows: DataFrame, names: list[str], common: dict, config: ModelConfig) -> PipelineModel:
+    """One boosted model per class, each with its own early stop; a list of class labels is all the driver sees."""
+    fit_rows = cut(_fit_rows(weighted(rows, config)))
+    classes = sorted(r[0] for r in fit_rows.filter("not is_validation").select("label").distinct().collect())
+    stages = [_assembler(names)]
+    for c in classes:
+        tag = repr(float(c)).replace(".", "p")
+        stage = GBTClassifier(
+            weightCol="weight", predictionCol=f"_is_{tag}", **{**common, "labelCol": "_own"},
+        ).setProbabilityCol(f"{CLASS}{tag}").setRawPredictionCol(f"_raw_{tag}")
+        stages.append(stage.fit(stages[0].transform(fit_rows.withColumn("_own", (F.col("label") == c).cast("double")))))
+    return PipelineModel(stages)
+
+
+def class_columns(model: PipelineModel) -> dict[float, str]:
+    """Columns of a one-versus-rest model's probabilities by class label; empty for other models."""
+    names = [m.getProbabilityCol() for m in model.stages if m.hasParam("probabilityCol")]
+    return {float(c.removeprefix(CLASS).replace("p", ".")): c for c in names if c.startswith(CLASS)}
+
+
 def predict(model: PipelineModel, rows: DataFrame, names: list[str]) -> DataFrame:
-    """Adds ``score`` (probability of class 1), or ``prediction`` alone for other models."""
+    """Adds ``prediction`` and, for two classes, ``score`` (probability of class 1).
+
+    More classes: ``probabilities``, one per class in order of the labels, adding up to 1; the smaller label wins ties.
+    """
     filled = rows.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in names})
     out = model.transform(filled)
+    classes = class_columns(model)
+    if classes:
+        order = sorted(classes)
+        each = F.array(*[F.get(vector_to_array(classes[c]), F.lit(1)) for c in order])
+        total = F.aggregate("_each", F.lit(0.0), lambda a, x: a + x)
+        best = F.array_position("probabilities", F.array_max("probabilities")) - 1
+        out = out.withColumn("_each", each).withColumn("probabilities", F.transform("_each", lambda x: x / total))
+        out = out.withColumn("prediction", F.get(F.array(*[F.lit(c) for c in order]), best.cast("int")))
+        parts = [c.removeprefix(CLASS) for c in classes.values()]
+        return out.drop("_each", *[f"{start}{tag}" for tag in parts for start in (CLASS, "_raw_", "_is_")])
     if "probability" in out.columns:
         out = out.withColumn("score", F.get(vector_to_array("probability"), F.lit(1)))
     return out.drop("rawPrediction", "probability")
 
 
 def importance(model: PipelineModel, names: list[str]) -> DataFrame:
-    """Gain importance per feature, largest first."""
+    """Gain importance per feature, largest first; the mean over the classes where each has its own trees."""
     from pyspark.sql import SparkSession
 
-    values = model.stages[-1].featureImportances.toArray()
+    values = sum(m.featureImportances.toArray() for m in model.stages[1:]) / len(model.stages[1:])
     spark = SparkSession.getActiveSession()
     table = spark.createDataFrame(list(zip(names, [float(v) for v in values])), "feature string, importance double")
     return table.orderBy(F.desc("importance"), "feature")

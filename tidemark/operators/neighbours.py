@@ -64,20 +64,38 @@ def _best(a: np.ndarray, pos_a: np.ndarray, b: np.ndarray, pos_b: np.ndarray, k:
 
 
 def _with_radius(df: DataFrame, k: int, apart: int) -> DataFrame:
+    def radii(pdf: pd.DataFrame) -> np.ndarray:
+        radius = np.full(len(pdf), np.inf)
+        for index in pdf.groupby("symbol", sort=False).indices.values():
+            for s in range(0, len(index), CHUNK):
+                end = min(s + CHUNK, len(index))
+                at = index[max(0, end - CHUNK) : end]
+                z = np.vstack(pdf["z"].values[at])
+                pos = pdf["rn"].values[at]
+                found, _ = _best(z, pos, z, pos, k, apart)
+                if found.shape[1] == k:
+                    radius[at] = np.minimum(radius[at], found[:, -1] * (1 + 1e-9) + 1e-9)
+        return radius
+
     def bound(batches):
+        """Rows see the rows before them over batch edges; last rows without a bound wait for the next batch, up to a chunk of them."""
+        before = held = None
         for pdf in batches:
-            radius = np.full(len(pdf), np.inf)
-            for _, index in pdf.groupby("symbol", sort=False).indices.items():
-                for s in range(0, len(index), CHUNK):
-                    end = min(s + CHUNK, len(index))
-                    at = index[max(0, end - CHUNK) : end]
-                    z = np.vstack(pdf["z"].values[at])
-                    pos = pdf["rn"].values[at]
-                    found, _ = _best(z, pos, z, pos, k, apart)
-                    if found.shape[1] == k:
-                        radius[at] = np.minimum(radius[at], found[:, -1] * (1 + 1e-9) + 1e-9)
-            pdf["radius"] = radius
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            held = None
+            if not len(pdf):
+                continue
+            whole = pdf if before is None else pd.concat([before, pdf], ignore_index=True)
+            pdf["radius"] = radii(whole)[len(whole) - len(pdf) :]
+            waits = (np.isinf(pdf["radius"]) & (pdf["symbol"] == pdf["symbol"].iloc[-1])).to_numpy()
+            if 0 < waits.sum() <= CHUNK:
+                held = pdf[waits].drop(columns="radius")
+                pdf = pdf[~waits]
+            before = pdf.drop(columns="radius").tail(CHUNK)
             yield pdf
+        if held is not None:
+            held["radius"] = np.inf
+            yield held
 
     schema = df.schema.add("radius", "double")
     # Half-unit cells of the signature give neighbouring rows similar shapes.

@@ -34,9 +34,10 @@ def train(clean: DataFrame, target: str = "label_up_10d", kind: str = "binary",
     model = M.boosted_trees(rows, names, kind, settings.models)
     test = cut(M.predict(model, rows.filter("role = 'test'"), names).drop("features"))
     scores = metrics.regression(test) if kind == "regression" else metrics.classification(test)
-    out = {"rows": rows, "names": names, "model": model, "test": test, "metrics": scores}
-    if kind != "multiclass":
-        out["importance"] = M.importance(model, names)
+    out = {"rows": rows, "names": names, "model": model, "test": test, "metrics": scores, "importance": M.importance(model, names)}
+    if kind == "multiclass":
+        labels = sorted(M.class_columns(model))
+        out["auc"] = metrics.one_vs_rest_auc(test, len(labels), classes=labels)
     return out
 
 
