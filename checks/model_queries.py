@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from checks.evaluation_queries import SCORED_SQL, scored
 from checks.fixtures import BARS_SQL, BASE_SQL, SCORES_SQL, SYM, bars, out, placed, r, scores, span
 from checks.pattern_queries import LIBRARY_SQL, _tables
-from tidemark.config import EvaluationConfig, ModelConfig, Settings
+from tidemark.config import EvaluationConfig, Settings
 from tidemark.functions.exprs import lag, ratio
 from tidemark.operators import cycles as C
 from tidemark.operators import explain as E
@@ -126,18 +126,20 @@ register("gbt_multiclass_metrics", _multiclass)
 
 
 def _cross_validation(s, d):
-    names = ["momentum_10", "rsi_20", "volatility_20", "macd", "bb_position_20"]
-    rows = folds.fold_rows(cut(trained(s, d)["rows"].select("symbol", "ts", *names, "label")))
-    config = ModelConfig(trees=4, depth=3, class_weights=False)
+    t = trained(s, d)
+    names = t["names"]
 
     def fit(train, val):
         both = train.withColumn("role", F.lit("train")).unionByName(val.withColumn("role", F.lit("validation")))
-        return M.boosted_trees(both, names, "binary", config)
+        return M.boosted_trees(both, names, "binary", DEFAULT.models)
+
+    def predict(model, rows):
+        return cut(M.predict(model, rows, names).select("label", "prediction"))
 
     def score(scored_rows):
         return MT.tall(MT.classification(scored_rows), ("accuracy", "precision", "recall", "f1"))
 
-    return folds.cross_validate(cut(rows), fit, lambda m, x: M.predict(m, x, names), score)[1]
+    return folds.cross_validate(t["rows"].drop("role"), fit, predict, score)[1]
 
 
 register("cross_validation", _cross_validation)

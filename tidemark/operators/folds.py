@@ -65,22 +65,33 @@ def aggregate_metrics(fold_metrics: DataFrame, by: tuple[str, ...] = ("role", "m
     return fold_metrics.groupBy(*by).agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
 
 
+def fold_parts(df: DataFrame, config: EvaluationConfig = EvaluationConfig()) -> list[tuple[int, str, str, str]]:
+    """(fold, role, start, end) of :func:`fold_rows`, with half-open bounds as text, in order of the folds."""
+    bounds = fold_rows(df.select("ts"), config).select(
+        "fold", "role", F.col("part_start").cast("string").alias("a"), F.col("part_end").cast("string").alias("b")
+    )
+    return sorted((r["fold"], r["role"], r["a"], r["b"]) for r in bounds.distinct().collect())
+
+
 def cross_validate(
     rows: DataFrame,
     train: Callable[[DataFrame, DataFrame], object],
     predict: Callable[[object, DataFrame], DataFrame],
     metrics: Callable[[DataFrame], DataFrame],
+    config: EvaluationConfig = EvaluationConfig(),
 ) -> tuple[DataFrame, DataFrame]:
-    """Train per fold and score its three parts.
+    """Train per fold and score its three parts, each a range of dates of ``rows``.
 
     ``train`` gets the training and validation rows, ``predict`` a model and rows, ``metrics``
     scored rows and returns (metric, value). The loop runs over the handful of folds; each step
-    is a distributed job. Returns the tall fold metrics and their aggregate.
+    is a distributed job, and no row is copied. Returns the tall fold metrics and their aggregate.
     """
-    found = sorted(r["fold"] for r in rows.select("fold").distinct().collect())
+    found: dict[int, dict[str, DataFrame]] = {}
+    for fold, role, a, b in fold_parts(rows, config):
+        low, high = (F.lit(x).cast("timestamp_ntz") for x in (a, b))
+        found.setdefault(fold, {})[role] = rows.filter((F.col("ts") >= low) & (F.col("ts") < high))
     parts: list[DataFrame] = []
-    for fold in found:
-        of = {role: rows.filter((F.col("fold") == fold) & (F.col("role") == role)) for role in ROLES}
+    for fold, of in found.items():
         model = train(of["train"], of["val"])
         for role in ROLES:
             scored = metrics(predict(model, of[role]))
