@@ -81,6 +81,7 @@ class ModelConfig:
     train_share: float = 0.8
     validation_share: float = 0.1
     validation_tolerance: float = 0.0
+    patience: int = 50
     class_weights: bool = True
     focal_alpha: float = 0.25
     focal_gamma: float = 2.0

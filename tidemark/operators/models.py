@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark import SparkContext
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.config import ModelConfig
@@ -75,12 +76,11 @@ def _fit_rows(rows: DataFrame) -> DataFrame:
 def boosted_trees(rows: DataFrame, names: list[str], kind: str = "binary", config: ModelConfig = ModelConfig()) -> PipelineModel:
     """Gradient-boosted trees for ``binary``, ``regression`` or ``multiclass`` labels.
 
-    Boosting ends with the first tree that does not lower the validation error by the tolerance's share.
+    The trees are fitted on the training rows and kept up to the smallest validation error (:func:`best_count`).
     """
     common = dict(
         featuresCol="features", labelCol="label", maxDepth=config.depth, stepSize=config.learning_rate,
-        seed=config.seed, validationIndicatorCol="is_validation", maxIter=config.trees,
-        validationTol=config.validation_tolerance,
+        seed=config.seed, maxIter=config.trees,
     )
     if kind == "regression":
         stage = GBTRegressor(**common)
@@ -92,7 +92,59 @@ def boosted_trees(rows: DataFrame, names: list[str], kind: str = "binary", confi
         return _one_vs_rest(rows, names, common, config)
     else:
         raise ValueError(f"unknown kind {kind}")
-    return Pipeline(stages=[_assembler(names), stage]).fit(fit_rows)
+    assembler = _assembler(names)
+    return PipelineModel([assembler, _fitted(stage, assembler.transform(fit_rows), config)])
+
+
+def best_count(errors: list[float], config: ModelConfig = ModelConfig()) -> tuple[int, bool]:
+    """The number of trees with the smallest error before ``patience`` trees in a row do not lower it by the
+    tolerance's share, and whether the patience has run out."""
+    best = 0
+    for i, error in enumerate(errors):
+        if errors[best] - error > config.validation_tolerance * max(error, 0.01):
+            best = i
+        elif i - best >= config.patience:
+            return best + 1, True
+    return best + 1, False
+
+
+def _first_trees(model, count: int):
+    """The model of the first ``count`` trees; MLlib has no public way to say it."""
+    java = model._java_obj
+    parts = [java.uid(), java.trees()[:count], java.treeWeights()[:count], java.numFeatures()]
+    maker = SparkContext._active_spark_context._jvm
+    for name in java.getClass().getName().split("."):
+        maker = getattr(maker, name)
+    if model.hasParam("probabilityCol"):
+        parts.append(java.numClasses())
+    return model._copyValues(type(model)(maker(*parts)))
+
+
+def _fitted(stage, rows: DataFrame, config: ModelConfig):
+    """``stage`` fitted on the training rows, with as many trees as the validation rows ask for.
+
+    The first trees do not depend on how many follow, so fits double until the patience has run out within one or all
+    trees are there. Without validation rows all trees are kept.
+    """
+    columns = [stage.getFeaturesCol(), stage.getLabelCol(), *(["weight"] if "weight" in rows.columns else [])]
+    rows = cut(rows.select(*columns, "is_validation"))
+    train, check = rows.filter("not is_validation"), rows.filter("is_validation")
+    checked = not check.isEmpty()
+    trees = min(config.trees, config.patience + 1) if checked else config.trees
+    while True:
+        model = stage.copy({stage.maxIter: trees}).fit(train)
+        if not checked:
+            return model
+        count, ended = best_count(_errors(model, check), config)
+        if ended or trees == config.trees:
+            return _first_trees(model, count)
+        trees = min(config.trees, 2 * trees)
+
+
+def _errors(model, rows: DataFrame) -> list[float]:
+    """The loss on ``rows`` after each tree."""
+    found = model.evaluateEachIteration(rows, model.getLossType()) if isinstance(model, GBTRegressionModel) else model.evaluateEachIteration(rows)
+    return [float(x) for x in found]
 
 
 def _one_vs_rest(rows: DataFrame, names: list[str], common: dict, config: ModelConfig) -> PipelineModel:
@@ -105,7 +157,8 @@ def _one_vs_rest(rows: DataFrame, names: list[str], common: dict, config: ModelC
         stage = GBTClassifier(
             weightCol="weight", predictionCol=f"_is_{tag}", **{**common, "labelCol": "_own"},
         ).setProbabilityCol(f"{CLASS}{tag}").setRawPredictionCol(f"_raw_{tag}")
-        stages.append(stage.fit(stages[0].transform(fit_rows.withColumn("_own", (F.col("label") == c).cast("double")))))
+        own = fit_rows.withColumn("_own", (F.col("label") == c).cast("double"))
+        stages.append(_fitted(stage, stages[0].transform(own), config))
     return PipelineModel(stages)
 
 
