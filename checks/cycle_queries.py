@@ -86,12 +86,13 @@ register(
 
 def _summary(s, d):
     x = series(s, d)
-    return C.summarize(C.cycle_peaks(cut(C.acf(x))), C.dominant_periods(S.amplitudes(x)))
+    return C.summarize(C.cycle_peaks(cut(C.acf(x))), C.dominant_periods(S.amplitudes(x)), V.dominant_scales(cut(V.scale_power(x))))
 
 
+register("cycle_summary", lambda s, d: out(_summary(s, d), keys=("symbol", "method"), period_days=6, strength=5))
 register(
-    "cycle_summary",
-    lambda s, d: out(_summary(s, d), keys=("symbol", "method"), period_days=6, strength=5),
+    "cycle_summary_without_wavelet",
+    lambda s, d: out(_summary(s, d).filter("method <> 'wavelet'"), keys=("symbol", "method"), period_days=6, strength=5),
     f"""WITH {PEAK_SQL}, {DOM_SQL[len(BARS_SQL) + 1:]} SELECT symbol, 'autocorrelation' AS method, {r('lag', 'period_days')}, {r('acf', 'strength', 5)} FROM acf_peaks
     UNION ALL SELECT symbol, 'spectral', {r('period', 'period_days')}, {r('power', 'strength', 5)} FROM dom""",
 )
