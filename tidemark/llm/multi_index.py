@@ -2,8 +2,8 @@
 
 Vectors of length one are split into halves; each half is quantised by its own centroids (k-means on a bounded sample,
 every row is indexed). A cell is a pair of centroids. For a query, a heap walks the pairs by the
-sum of the two squared distances until the cells walked hold ``share`` of all rows; their entries are reranked by the
-exact cosine on the original vectors. Cells are cut into chunks of ``CHUNK`` rows and their queries into lists of as
+sum of the two squared distances until the cells walked hold ``share`` of all distinct vectors, so that copies use up no
+other cell's budget; all their entries are reranked by the exact cosine on the original vectors. Cells are cut into chunks of ``CHUNK`` rows and their queries into lists of as
 many, so a cell that holds a third of all rows is many tasks; each chunk returns its best rows only.
 
 Vectors that are null, zero, hold null or non-finite components, or differ in length from the most common one take no part. Rows
@@ -55,7 +55,7 @@ def centroids(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndar
 
 
 def walk(a: np.ndarray, b: np.ndarray, sizes: dict[int, int], enough: int) -> list[int]:
-    """Cells i * len(b) + j by a[i] + b[j], the smallest first, until they hold ``enough`` rows (a heap over two sorted lists)."""
+    """Cells i * len(b) + j by a[i] + b[j], the smallest first, until they hold ``enough`` vectors (a heap over two sorted lists)."""
     i_order, j_order = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
     x, y = a[i_order].tolist(), b[j_order].tolist()
     heap, seen, cells, held = [(x[0] + y[0], 0, 0)], {(0, 0)}, [], 0
@@ -108,14 +108,16 @@ def search(
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32))], names=["vec_id", "emb", "cell"])
 
     indexed = stored(good.mapInArrow(assign, "vec_id bigint, emb array<double>, cell int"))
-    held = {c: m for c, m in indexed.groupBy("cell").count().collect()}  # at most side * side rows
+    distinct = F.count_distinct(F.xxhash64("emb"))
+    held = {c: m for c, m in indexed.groupBy("cell").agg(distinct).collect()}  # at most side * side rows; copies count once
+    enough = int(np.ceil(share * sum(held.values()))) + 1
 
     def probe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             a, b = distances(matrix(batch.column("emb")))
-            walks = [walk(a[i], b[i], held, int(np.ceil(share * n)) + 1) for i in range(batch.num_rows)]
+            walks = [walk(a[i], b[i], held, enough) for i in range(batch.num_rows)]
             rows = pa.array(np.repeat(np.arange(batch.num_rows), [len(w) for w in walks]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("vec_id").take(rows), batch.column("emb").take(rows), pa.array([c for w in walks for c in w], pa.int32())],
