@@ -6,8 +6,8 @@ sum of the two squared distances until the cells walked hold ``share`` of all di
 other cell's budget; all their entries are reranked by the exact cosine on the original vectors. Cells are cut into chunks of ``CHUNK`` rows and their queries into lists of as
 many, so a cell that holds a third of all rows is many tasks; each chunk returns its best rows only.
 
-Vectors that are null, zero, hold null or non-finite components, or differ in length from the most common one take no part. Rows
-with one id are rows of their own; a query's own id is no candidate. Fewer candidates give fewer rows; an empty table gives none.
+Vectors that are null, zero or hold null or non-finite components take no part. Each length has centroids, cells and a budget of
+its own, as vectors of different lengths have no cosine. The budget is never less than the ``k`` vectors asked for. Rows with one id are rows of their own; a query's own id is no candidate. Fewer candidates give fewer rows; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.llm.common import chance, stored
@@ -81,46 +82,59 @@ def search(
     schema = "query_id bigint, rank int, vec_id bigint, score double"
     given = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("emb"))
     given = given.filter(usable(F.col("emb")) & F.col("vec_id").isNotNull())
-    sizes = given.groupBy(F.size("emb").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if sizes is None:
+    counts = dict(given.groupBy(F.size("emb").alias("d")).count().collect())
+    if not counts:
         return spark.createDataFrame([], schema)
-    d, n = sizes
-    good = given.filter(F.size("emb") == d)
-    seen = [r[0] for r in good.filter(chance(3, F.col("vec_id")) < sample / n).select("emb").orderBy(F.xxhash64("emb")).limit(2 * sample).collect()]
-    if not seen:
-        seen = [r[0] for r in good.select("emb").orderBy("vec_id").limit(side).collect()]
-    x, h = unit(np.array(seen, np.float64)), (d + 1) // 2
-    halves = [centroids(x[:, :h], side), centroids(x[:, h:], side) if d > h else np.zeros((1, 0))]
-    width = len(halves[1])
+    lengths = sorted(counts)
+    each = max(sample // len(lengths), 4 * side)  # sampled vectors of a length
+    rates = F.map_from_arrays(F.array(*map(F.lit, lengths)), F.array(*[F.lit(each / counts[d]) for d in lengths]))
+    drawn = given.filter(chance(3, F.col("vec_id")) < F.element_at(rates, F.size("emb"))).select("emb").orderBy(F.xxhash64("emb"))
+    seen: dict[int, list] = {d: [] for d in lengths}
+    for (emb,) in drawn.limit(2 * each * len(lengths)).collect():
+        seen[len(emb)].append(emb)
+    fits: dict[int, tuple[int, int, list[np.ndarray]]] = {}  # length: its number, where it is cut, centroids of both parts
+    for place, d in enumerate(lengths):
+        found = seen[d] or [r[0] for r in given.filter(F.size("emb") == d).select("emb").orderBy("vec_id").limit(side).collect()]
+        x, h = unit(np.array(found, np.float64)), (d + 1) // 2
+        fits[d] = place, h, [centroids(x[:, :h], side), centroids(x[:, h:], side) if d > h else np.zeros((1, 0))]
 
     def distances(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        _, h, halves = fits[v.shape[1]]
         u = unit(v)
         return squares(u[:, :h], halves[0]), squares(u[:, h:], halves[1])
 
     def matrix(column: pa.Array) -> np.ndarray:
-        return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
-    def assign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def by_length(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, int]]:
+        """Rows of one length, their vectors, and the first cell of the length."""
         for batch in batches:
-            if batch.num_rows:
-                a, b = distances(matrix(batch.column("emb")))
-                cell = a.argmin(1) * width + b.argmin(1)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32))], names=["vec_id", "emb", "cell"])
+            size = pc.list_value_length(batch.column("emb"))
+            for d in pc.unique(size).to_pylist():
+                part = batch.filter(pc.equal(size, d))
+                yield part, matrix(part.column("emb")), fits[d][0] * side * side
+
+    def assign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, v, first in by_length(batches):
+            a, b = distances(v)
+            cell = first + a.argmin(1) * b.shape[1] + b.argmin(1)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell.astype(np.int32))], names=["vec_id", "emb", "cell"])
 
-    indexed = stored(good.mapInArrow(assign, "vec_id bigint, emb array<double>, cell int"))
+    indexed = stored(given.mapInArrow(assign, "vec_id bigint, emb array<double>, cell int"))
     distinct = F.count_distinct(F.xxhash64("emb"))
-    held = {c: m for c, m in indexed.groupBy("cell").agg(distinct).collect()}  # at most side * side rows; copies count once
-    enough = int(np.ceil(share * sum(held.values()))) + 1
+    held: dict[int, dict[int, int]] = {}  # by length's first cell; at most side * side cells each, copies count once
+    for c, m in indexed.groupBy("cell").agg(distinct).collect():
+        held.setdefault(c - c % (side * side), {})[c % (side * side)] = m
+    enough = {first: max(int(np.ceil(share * sum(m.values()))), k) for first, m in held.items()}
 
     def probe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            a, b = distances(matrix(batch.column("emb")))
-            walks = [walk(a[i], b[i], held, enough) for i in range(batch.num_rows)]
-            rows = pa.array(np.repeat(np.arange(batch.num_rows), [len(w) for w in walks]))
+        for part, v, first in by_length(batches):
+            a, b = distances(v)
+            own = part.column("own").to_numpy()  # vectors that carry the query's id are no candidates
+            walks = [walk(a[i], b[i], held[first], enough[first] + int(own[i])) for i in range(part.num_rows)]
+            rows = pa.array(np.repeat(np.arange(part.num_rows), [len(w) for w in walks]), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id").take(rows), batch.column("emb").take(rows), pa.array([c for w in walks for c in w], pa.int32())],
+                [part.column("vec_id").take(rows), part.column("emb").take(rows), pa.array([first + c for w in walks for c in w], pa.int32())],
                 names=["vec_id", "emb", "cell"])
 
     def chunked(rows: DataFrame, name: str) -> DataFrame:
@@ -149,7 +163,8 @@ def search(
                 [pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.float64())],
                 names=["query_id", "vec_id", "score"])
 
-    asked = indexed.filter(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "emb").mapInArrow(probe, "vec_id bigint, emb array<double>, cell int")
+    queries = indexed.filter(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "emb")
+    asked = queries.join(queries.groupBy("vec_id").agg(distinct.alias("own")), "vec_id").mapInArrow(probe, "vec_id bigint, emb array<double>, cell int")
     met = chunked(asked, "queries").join(chunked(indexed, "entries"), "cell")
     best = met.select("queries", "entries").mapInArrow(rerank, "query_id bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
