@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from tidemark.llm import embedding_dedup, langid, lm_score, mixing, multi_index, pieces, quality, simhash, token_counts, toxicity
+from tidemark.llm import embedding_dedup, langid, lm_score, merkle, mixing, multi_index, pieces, quality, simhash, token_counts, toxicity
 from tidemark.llm.common import table
 
 
@@ -63,6 +63,12 @@ def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_grams", "importance", "gumbel_key", "selected")
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of every document; of ids whose hash 7 divides a tampered row is checked. Nulls: see :mod:`merkle`."""
+    shown = F.when(fold("doc_id", 7) == 0, F.col("n_chars").cast("decimal(38,0)") + 1).otherwise(F.col("n_chars").cast("decimal(38,0)"))
+    return merkle.manifest(table(spark, sf_dir, "documents"), tampered={"n_chars": shown})
+
+
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_sentencepiece": op1_sentencepiece,
@@ -75,6 +81,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_source_mix": op9_source_mix,
     "op10_importance_resampling": op10_importance_resampling,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 OP3_SQL = """
@@ -143,4 +150,62 @@ SELECT doc_id, size, s AS source_size, target,
   CASE WHEN s = 0 THEN 0 ELSE (budget // s) * size + least(size, greatest(0, budget - (budget // s) * s - before)) END AS taken
 FROM ordered"""
 
-SQL = {"op3_embedding_dedup": OP3_SQL, "op6_lm_score": OP6_SQL, "op9_source_mix": OP9_SQL}
+CRC_SQL = """
+  bits AS (
+    SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, (c & 1) * 3988292384)) ORDER BY n) AS t
+    FROM (SELECT CAST(range AS BIGINT) AS n FROM range(256))
+  )"""
+
+
+def crc_sql(codes: str) -> str:
+    """crc32 of a list of byte values; needs ``bits``."""
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda c, b: xor(c >> 8, bits.t[1 + (xor(c, b) & 255)])), 4294967295)"
+
+
+def field_sql(value: str) -> str:
+    return f"coalesce(CAST(octet_length(encode({value})) AS VARCHAR) || ':' || {value}, '-')"
+
+
+TEXT = {c: f"CAST({c} AS VARCHAR)" for c in ("doc_id", "source", "lang", "n_chars")}
+OP13_SQL = f"""
+WITH RECURSIVE {CRC_SQL}, marked AS (
+  SELECT *, {field_sql(TEXT['doc_id'])} || {field_sql(TEXT['source'])} || {field_sql(TEXT['lang'])} AS front,
+    coalesce(CAST(octet_length(encode(text)) AS VARCHAR) || ':' || text, '-') AS back,
+    CASE WHEN {crc_sql("list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))")} % 7 = 0 THEN n_chars + 1 ELSE n_chars END AS bumped
+  FROM documents, bits
+), leaves AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS grp, sha256(front || {field_sql(TEXT['n_chars'])} || back) AS h, sha256(front || {field_sql('CAST(bumped AS VARCHAR)')} || back) AS shown
+  FROM marked
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, h) - 1 AS idx FROM leaves
+), nodes AS (
+  SELECT CAST(0 AS BIGINT) AS lvl, grp, idx, h, count(*) OVER (PARTITION BY grp) AS n FROM placed
+  UNION ALL
+  SELECT lvl + 1, grp, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), CAST((any_value(n) + 1) // 2 AS BIGINT) FROM nodes WHERE n > 1 GROUP BY lvl, grp, idx // 2
+), tops AS (
+  SELECT grp, h, row_number() OVER (ORDER BY grp) - 1 AS idx, count(*) OVER () AS n FROM nodes WHERE n = 1
+), upper AS (
+  SELECT CAST(0 AS BIGINT) AS lvl, idx, h, n FROM tops
+  UNION ALL
+  SELECT lvl + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), CAST((any_value(n) + 1) // 2 AS BIGINT) FROM upper WHERE n > 1 GROUP BY lvl, idx // 2
+), steps AS (  -- a lone last node has no sibling and is hashed alone
+  SELECT p.grp, p.idx, o.lvl, coalesce(CASE WHEN s.idx % 2 = 0 THEN 'L' ELSE 'R' END || s.h, 'L') AS step
+  FROM placed p JOIN nodes o ON o.grp = p.grp AND o.n > 1 AND o.idx = p.idx >> o.lvl LEFT JOIN nodes s ON s.grp = o.grp AND s.lvl = o.lvl AND s.idx = xor(o.idx, 1)
+  UNION ALL
+  SELECT p.grp, p.idx, 1000 + o.lvl, coalesce(CASE WHEN s.idx % 2 = 0 THEN 'L' ELSE 'R' END || s.h, 'L')
+  FROM placed p JOIN tops t ON t.grp = p.grp JOIN upper o ON o.n > 1 AND o.idx = t.idx >> o.lvl LEFT JOIN upper s ON s.lvl = o.lvl AND s.idx = xor(o.idx, 1)
+), paths AS (SELECT grp, idx, list(step ORDER BY lvl) AS steps FROM steps GROUP BY grp, idx),
+walked AS (
+  SELECT p.*, coalesce(steps, CAST([] AS VARCHAR[])) AS steps FROM placed p LEFT JOIN paths w ON w.grp = p.grp AND w.idx = p.idx
+), folds AS (
+  SELECT grp, idx, CAST(1 AS BIGINT) AS k, steps, shown AS a FROM walked
+  UNION ALL
+  SELECT grp, idx, k + 1, steps, sha256(CASE WHEN steps[k][1] = 'L' THEN steps[k][2:] || a ELSE a || steps[k][2:] END) FROM folds WHERE k <= len(steps)
+), done AS (
+  SELECT p.doc_id, p.h AS leaf, t.h AS subroot, (SELECT h FROM upper WHERE n = 1) AS root,
+    sha256(coalesce(list_aggregate(list_transform(p.steps, lambda x: x[2:]), 'string_agg', ''), '')) AS proof_sha256, f.a AS folded_root
+  FROM walked p JOIN tops t ON t.grp = p.grp JOIN folds f ON f.grp = p.grp AND f.idx = p.idx AND f.k = len(p.steps) + 1
+)
+SELECT *, folded_root = root AS verified FROM done"""
+
+SQL = {"op13_merkle_manifest": OP13_SQL, "op3_embedding_dedup": OP3_SQL, "op6_lm_score": OP6_SQL, "op9_source_mix": OP9_SQL}
