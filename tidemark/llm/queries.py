@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from tidemark.llm import embedding_dedup, langid, lm_score, merkle, mixing, multi_index, pieces, quality, simhash, token_counts, toxicity
+from tidemark.llm import credentials, embedding_dedup, langid, lm_score, merkle, mixing, multi_index, pieces, quality, simhash, token_counts, toxicity
 from tidemark.llm.common import table
 
 
@@ -63,6 +65,11 @@ def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_grams", "importance", "gumbel_key", "selected")
 
 
+def op12_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every text, counted and digested; nulls, empty texts and repeated rows: see :mod:`credentials`."""
+    return credentials.digests(credentials.findings(table(spark, sf_dir, "documents")))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proofs of every document; of ids whose hash 7 divides a tampered row is checked. Nulls: see :mod:`merkle`."""
     shown = F.when(fold("doc_id", 7) == 0, F.col("n_chars").cast("decimal(38,0)") + 1).otherwise(F.col("n_chars").cast("decimal(38,0)"))
@@ -81,6 +88,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_source_mix": op9_source_mix,
     "op10_importance_resampling": op10_importance_resampling,
+    "op12_credential_links": op12_credential_links,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -208,4 +216,38 @@ walked AS (
 )
 SELECT *, folded_root = root AS verified FROM done"""
 
-SQL = {"op13_merkle_manifest": OP13_SQL, "op3_embedding_dedup": OP3_SQL, "op6_lm_score": OP6_SQL, "op9_source_mix": OP9_SQL}
+
+def hits_sql(i: int, kind: str) -> str:
+    """Matches of one kind; RE2 has no look behind, which only saves time in the patterns."""
+    pattern = re.sub(r"\(\?<!.*?\]\)", "", credentials.KINDS[kind][0]).replace("'", "''")
+    kept = {"assign": "length(v[i]) >= 6", "key_id": "length(v[i]) >= 3", "blob": "regexp_matches(m[i], '[0-9]') AND regexp_matches(m[i], '[A-Za-z]')"}.get(kind, "true")
+    group = 2 if kind in ("assign", "key_id") else 0
+    return f"""SELECT row, {i} AS kind, i, length(g[i]) AS gap, length(m[i]) AS len, {kept} AS ok FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (
+      SELECT row, string_split_regex(text, '{pattern}') AS g, regexp_extract_all(text, '{pattern}', 0) AS m, regexp_extract_all(text, '{pattern}', {group}) AS v FROM docs))"""
+
+
+PART_SQL = "[" + ", ".join(f"'{part}'" for _, part in credentials.KINDS.values()) + "][kind + 1]"
+NAME_SQL = "[" + ", ".join(f"'{kind}'" for kind in credentials.KINDS) + "][kind + 1]"
+OP12_SQL = f"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents), hits AS (
+  {" UNION ALL ".join(hits_sql(i, kind) for i, kind in enumerate(credentials.KINDS))}
+), spans AS MATERIALIZED (
+  SELECT row, kind, {PART_SQL} AS part, b - len AS a, b FROM (SELECT *, sum(gap + len) OVER (PARTITION BY row, kind ORDER BY i) AS b FROM hits) WHERE ok
+), weak AS (
+  SELECT w.row, w.kind, w.part, w.a, w.b, bool_or(p.part = 'identifier') AS identifier, bool_or(p.part = 'secret') AS secret, bool_or(p.kind < 3 AND p.a < w.b AND w.a < p.b) AS known
+  FROM spans w JOIN spans p ON p.row = w.row AND p.a - w.b <= {credentials.REACH} AND w.a - p.b <= {credentials.REACH}
+  WHERE w.kind >= 3 GROUP BY ALL
+), kept AS (
+  SELECT row, kind, a, b FROM spans WHERE kind < 3
+  UNION ALL SELECT row, kind, a, b FROM weak WHERE NOT known AND CASE part WHEN 'identifier' THEN secret WHEN 'secret' THEN identifier ELSE identifier AND secret END
+), told AS (
+  SELECT row, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, count(*) FILTER (kind > 2) AS n_weak,
+    string_agg({NAME_SQL} || ':' || CAST(a AS VARCHAR) || ':' || CAST(b AS VARCHAR), ',' ORDER BY a, kind) FILTER (kind < 3) AS base,
+    string_agg({NAME_SQL} || ':' || CAST(a AS VARCHAR) || ':' || CAST(b AS VARCHAR), ',' ORDER BY a, kind) AS spans
+  FROM kept GROUP BY row
+)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_weak, 0) AS n_weak
+FROM docs d LEFT JOIN told USING (row)"""
+
+SQL = {"op12_credential_links": OP12_SQL, "op13_merkle_manifest": OP13_SQL, "op3_embedding_dedup": OP3_SQL, "op6_lm_score": OP6_SQL, "op9_source_mix": OP9_SQL}
