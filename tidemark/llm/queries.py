@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from tidemark.llm import credentials, embedding_dedup, langid, lm_score, merkle, mixing, multi_index, pieces, quality, simhash, token_counts, toxicity
+from tidemark.llm import credentials, embedding_dedup, langid, lm_score, merkle, mixing, multi_index, pieces, quality, simhash, token_counts, toxicity, variants
 from tidemark.llm.common import table
 
 
@@ -65,6 +65,11 @@ def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_grams", "importance", "gumbel_key", "selected")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all texts with the frequent form they are one edit from; nulls, empty texts and repeated rows: see :mod:`variants`."""
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
 def op12_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every text, counted and digested; nulls, empty texts and repeated rows: see :mod:`credentials`."""
     return credentials.digests(credentials.findings(table(spark, sf_dir, "documents")))
@@ -88,6 +93,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_source_mix": op9_source_mix,
     "op10_importance_resampling": op10_importance_resampling,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_credential_links": op12_credential_links,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
@@ -217,6 +223,35 @@ walked AS (
 SELECT *, folded_root = root AS verified FROM done"""
 
 
+OP11_SQL = f"""
+WITH RECURSIVE {CRC_SQL}, runs AS (
+  SELECT doc_id, run, count(*) AS k FROM (
+    SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{{7,}}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+  ) GROUP BY ALL
+), hashed AS (
+  SELECT *, {crc_sql("flatten(list_transform(string_split(CAST(doc_id AS VARCHAR) || ':' || run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [CAST(192 + (unicode(x) >> 6) AS BIGINT), CAST(128 + (unicode(x) & 63) AS BIGINT)] END))")} AS h
+  FROM runs, bits
+), words AS MATERIALIZED (
+  SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 31 = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) + 2 AS BIGINT)) ELSE run END AS word, k FROM hashed
+  ) WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2
+), cut AS MATERIALIZED (
+  SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM words)
+), shorter AS (SELECT DISTINCT c.word AS a, w.word AS b FROM cut c JOIN words w ON w.word = c.rest),
+near AS (
+  SELECT a.word AS a, b.word AS b FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION ALL SELECT a, b FROM shorter UNION ALL SELECT b, a FROM shorter
+), best AS (
+  SELECT a AS word, count(*) AS n_near, arg_min(b, (-w.n, b)) AS form, max(w.n) AS form_n FROM near JOIN words w ON w.word = b GROUP BY a
+), ruled AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * n THEN form END AS form, CASE WHEN form_n >= 10 * n THEN form_n END AS form_n FROM words w LEFT JOIN best USING (word)
+), walk AS (
+  SELECT word, word AS root, form AS next FROM ruled
+  UNION ALL SELECT k.word, k.next, r.form FROM walk k JOIN ruled r ON r.word = k.next
+)
+SELECT r.word, r.form, k.root, r.n, r.n_near, r.form_n FROM ruled r JOIN walk k ON k.word = r.word AND k.next IS NULL"""
+
+
 def hits_sql(i: int, kind: str) -> str:
     """Matches of one kind; RE2 has no look behind, which only saves time in the patterns."""
     pattern = re.sub(r"\(\?<!.*?\]\)", "", credentials.KINDS[kind][0]).replace("'", "''")
@@ -250,4 +285,4 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_weak, 0) AS n_weak
 FROM docs d LEFT JOIN told USING (row)"""
 
-SQL = {"op12_credential_links": OP12_SQL, "op13_merkle_manifest": OP13_SQL, "op3_embedding_dedup": OP3_SQL, "op6_lm_score": OP6_SQL, "op9_source_mix": OP9_SQL}
+SQL = {"op11_spelling_variants": OP11_SQL, "op12_credential_links": OP12_SQL, "op13_merkle_manifest": OP13_SQL, "op3_embedding_dedup": OP3_SQL, "op6_lm_score": OP6_SQL, "op9_source_mix": OP9_SQL}
