@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ from tidemark.sources import sinks
 QUERIES, SQL = {}, {}
 KEY = "symbol, CAST(ts AS VARCHAR) AS ts"
 DEFAULT = Settings()
-_TRAINED: dict[tuple[str, str], dict] = {}
+_TRAINED: dict[tuple[str, str, str], dict] = {}
 
 
 def register(name, query, sql=None):
@@ -36,15 +37,34 @@ def register(name, query, sql=None):
         SQL[name] = sql
 
 
-def trained(s, d):
-    """The model several queries below read; fitted once per application and data set."""
-    key = (s.sparkContext.applicationId, d)
+#: Models of the registered queries: the defaults, but this many trees at most, as one query must end within a few minutes on one machine.
+QUERY = replace(DEFAULT, models=replace(DEFAULT.models, trees=40))
+
+
+def once(kind, s, d, make):
+    """What several queries below read; made once per application and data set."""
+    key = (s.sparkContext.applicationId, kind, d)
     if key not in _TRAINED:
-        clean = stages.prepared(bars(s, d), DEFAULT)
-        _TRAINED[key] = {"clean": clean, **stages.train(clean, settings=DEFAULT)}
+        _TRAINED[key] = make()
     return _TRAINED[key]
 
 
+def training(s, d):
+    """Clean bars, and the rows and columns to train on."""
+
+    def make():
+        clean = stages.prepared(bars(s, d), QUERY)
+        return {"clean": clean, **stages.training_rows(clean, settings=QUERY)}
+
+    return once("rows", s, d, make)
+
+
+def trained(s, d):
+    """The binary model of the ten-day move with its scored test rows."""
+    t = training(s, d)
+    return once("model", s, d, lambda: {**t, **stages.fitted(t["rows"], t["names"], settings=QUERY)})
+
+
 def scratch(s):
     ensure_checkpoint_dir(s)
     return f"{s.sparkContext.getCheckpointDir()}/out-{uuid.uuid4().hex}"
@@ -100,21 +120,26 @@ register("gbt_importance", lambda s, d: trained(s, d)["importance"])
 
 
 def _regression(s, d):
-    t = trained(s, d)
+    t = training(s, d)
     target = L.move(L.base(with_halo(t["clean"], before=15, after=10)), 10)
     target = core_rows(target).select("symbol", "ts", F.col("magnitude_move_10d").alias("label"))
     names = t["names"]
     rows = cut(t["rows"].drop("label").join(target, ["symbol", "ts"]))
-    model = M.boosted_trees(rows, names, "regression", DEFAULT.models)
+    model = M.boosted_trees(rows, names, "regression", QUERY.models)
     return MT.regression(M.predict(model, rows.filter("role = 'test'"), names))
 
 
-def _multiclass(s, d):
-    t = trained(s, d)
+def _classes(s, d):
+    t = training(s, d)
     target = core_rows(L.move(L.base(with_halo(t["clean"], before=15, after=10)), 10)).select("symbol", "ts", (F.col("label_move_10d") + 1).cast("double").alias("label"))
     rows = cut(t["rows"].drop("label").join(target.filter("label IS NOT NULL"), ["symbol", "ts"]))
-    model = M.boosted_trees(rows, t["names"], "multiclass", DEFAULT.models)
-    test = cut(M.predict(model, rows.filter("role = 'test'"), t["names"]).select("label", "prediction", "probabilities"))
+    return rows, M.boosted_trees(rows, t["names"], "multiclass", QUERY.models)
+
+
+def _multiclass(s, d):
+    names = training(s, d)["names"]
+    rows, model = once("classes", s, d, lambda: _classes(s, d))
+    test = cut(M.predict(model, rows.filter("role = 'test'"), names).select("label", "prediction", "probabilities"))
     labels = sorted(M.class_columns(model))
     auc = MT.one_vs_rest_auc(test, len(labels), classes=labels)
     sides = [MT.tall(MT.classification(test), ("rows", "accuracy", "precision", "recall", "f1")), MT.tall(auc, ("auc_roc",))]
@@ -126,12 +151,12 @@ register("gbt_multiclass_metrics", _multiclass)
 
 
 def _cross_validation(s, d):
-    t = trained(s, d)
+    t = training(s, d)
     names = t["names"]
 
     def fit(train, val):
         both = train.withColumn("role", F.lit("train")).unionByName(val.withColumn("role", F.lit("validation")))
-        return M.boosted_trees(both, names, "binary", DEFAULT.models)
+        return M.boosted_trees(both, names, "binary", QUERY.models)
 
     def predict(model, rows):
         return cut(M.predict(model, rows, names).select("label", "prediction"))
@@ -145,7 +170,7 @@ def _cross_validation(s, d):
 register("cross_validation", _cross_validation)
 register(
     "strategy_backtest",
-    lambda s, d: stages.backtest_scores(trained(s, d)["clean"], trained(s, d)["test"], 0.5, DEFAULT)["metrics"],
+    lambda s, d: stages.backtest_scores(trained(s, d)["clean"], trained(s, d)["test"], 0.5, QUERY)["metrics"],
 )
 
 # ---- attributions ----------------------------------------------------------------------
@@ -156,6 +181,17 @@ def explained(s, d):
     return E.attributions(t["model"], t["test"], t["names"])
 
 
+
+
+def _class_attributions(s, d):
+    """The latest fifty test rows, explained for each class by its own trees."""
+    names = training(s, d)["names"]
+    rows, model = once("classes", s, d, lambda: _classes(s, d))
+    latest = rows.filter("role = 'test'").orderBy(F.desc("ts"), "symbol").limit(50)
+    return out(E.attributions(model, latest, names).withColumn("label", F.col("class")), ("label",), base=6, margin=6)
+
+
+register("attribution_classes", _class_attributions)
 register("attribution_margin", lambda s, d: out(explained(s, d), base=6, margin=6))
 register("attribution_importance", lambda s, d: E.global_importance(explained(s, d), trained(s, d)["names"]))
 register("instance_explanations", lambda s, d: out(E.instance_explanations(explained(s, d), trained(s, d)["names"]), ("rank",), keys=("symbol", "ts", "feature"), attribution=6, value=6))
@@ -222,7 +258,7 @@ def _report(s, d):
 register("prediction_report", _report)
 register(
     "score_and_explain",
-    lambda s, d: stages.score_and_explain(bars(s, d), trained(s, d)["model"], start="1998-06-01", settings=DEFAULT).select(
+    lambda s, d: stages.score_and_explain(bars(s, d), trained(s, d)["model"], start="1998-06-01", settings=QUERY).select(
         "symbol", F.col("ts").cast("string").alias("ts"), F.round("score", 6).alias("score"), "signal", F.to_json("factors").alias("factors")
     ),
 )

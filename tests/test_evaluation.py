@@ -75,7 +75,7 @@ def test_attributions_are_additive_and_match_brute_force(spark):
     scored = models.predict(model, rows, names).orderBy("ts").toPandas()
     np.testing.assert_allclose(1 / (1 + np.exp(-2 * explained.margin)), scored.score, rtol=1e-9)
 
-    leaves = E.leaf_table(model, spark)
+    leaves = E.leaf_table(model.stages[-1], spark)
     x = pdf[names].to_numpy()[:5]
 
     def value(row, known):
@@ -98,6 +98,28 @@ def test_attributions_are_additive_and_match_brute_force(spark):
             assert abs(phi - explained.attribution[i][f]) < 1e-10
 
 
+def test_attributions_of_every_class_are_additive(spark):
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame(rng.normal(size=(240, 2)), columns=["a", "b"])
+    pdf["label"] = np.where(pdf.a > 0.4, 2.0, np.where(pdf.b > 0, 1.0, 0.0))
+    pdf["symbol"], pdf["ts"] = "X", pd.date_range("2020-01-01", periods=240, freq="D")
+    rows = spark.createDataFrame(pdf).withColumn("ts", F.col("ts").cast("timestamp_ntz")).withColumn("role", F.lit("train"))
+    model = models.boosted_trees(rows, ["a", "b"], "multiclass", ModelConfig(trees=3, depth=3, learning_rate=0.3))
+    explained = E.attributions(model, rows, ["a", "b"]).toPandas()
+    assert len(explained) == 720 and set(explained["class"]) == {0.0, 1.0, 2.0}
+    raw = model.transform(rows.orderBy("ts")).toPandas().sort_values("ts")
+    for c, column in models.class_columns(model).items():
+        margin = explained[explained["class"] == c].sort_values("ts").margin
+        np.testing.assert_allclose(1 / (1 + np.exp(-2 * margin)), [p[1] for p in raw[column]], rtol=1e-9)
+
+
+def test_deep_paths_by_row_equal_paths_by_pattern():
+    rng = np.random.default_rng(8)
+    leaves = [{"value": rng.normal(), "path": {int(f): (-1.0, float(rng.normal()), float(rng.random())) for f in rng.choice(9, d, replace=False)}} for d in (0, 1, 3, 3, 6, 6)]
+    x = rng.normal(size=(40, 9))
+    np.testing.assert_allclose(E.attribute(x, leaves), E.attribute(x, leaves, deepest=2), atol=1e-12)
+
+
 def test_window_names():
     assert E.window_of("momentum_20", (3, 5, 10, 20)) == 20
     assert E.window_of("macd", (3, 5)) is None

@@ -11,11 +11,12 @@ import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tidemark.operators.models import class_columns
 from tidemark.session import ensure_checkpoint_dir
 
 
-def leaf_table(model: PipelineModel, spark: SparkSession) -> list[dict]:
-    """Leaves of all trees with the conditions on their paths.
+def leaf_table(stage, spark: SparkSession) -> list[dict]:
+    """Leaves of all trees of a boosted model with the conditions on their paths.
 
     Read from the saved model, in the shared folder. Its size is set by the number and depth
     of trees, not by data. A condition is (feature, low, high, share): the value must lie in
@@ -23,7 +24,6 @@ def leaf_table(model: PipelineModel, spark: SparkSession) -> list[dict]:
     """
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/trees-{uuid.uuid4().hex}"
-    stage = model.stages[-1]
     stage.write().save(path)
     nodes: dict[int, dict[int, object]] = {}
     for row in spark.read.parquet(f"{path}/data").collect():
@@ -53,58 +53,92 @@ def base_value(leaves: list[dict]) -> float:
     return sum(leaf["value"] * math.prod(c[2] for c in leaf["path"].values()) for leaf in leaves)
 
 
-def attribute(x: np.ndarray, leaves: list[dict]) -> np.ndarray:
+def grouped(leaves: list[dict], deepest: int = 10, entries: int = 1 << 20) -> Iterator[tuple[np.ndarray, ...]]:
+    """Path matrices (features, low, high, share, value) of leaves with equally many features, a bounded number at a time."""
+    by_depth: dict[int, list[dict]] = {}
+    for leaf in leaves:
+        by_depth.setdefault(len(leaf["path"]), []).append(leaf)
+    for depth, found in by_depth.items():
+        step = max(1, entries // ((1 << min(depth, deepest)) * max(depth, 1)))
+        for i in range(0, len(found) if depth else 0, step):
+            part = found[i:i + step]
+            conditions = np.array([[leaf["path"][f] for f in leaf["path"]] for leaf in part])
+            features = np.array([list(leaf["path"]) for leaf in part])
+            yield features, conditions[:, :, 0], conditions[:, :, 1], conditions[:, :, 2], np.array([leaf["value"] for leaf in part])
+
+
+def shapley(known: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Shapley values of games that are products over features: each is ``known`` (0 or 1) inside a coalition and ``share`` outside it.
+
+    Both are (..., features). The sum over coalitions is a polynomial in the number of members, built from the other features.
+    """
+    depth = known.shape[-1]
+    weight = [math.factorial(s) * math.factorial(depth - 1 - s) / math.factorial(depth) for s in range(depth)]
+    out = np.empty(np.broadcast_shapes(known.shape, share.shape))
+    for i in range(depth):
+        poly = np.zeros((*out.shape[:-1], depth))
+        poly[..., 0] = 1
+        for j in range(depth):
+            if j != i:
+                taken = poly[..., :-1] * known[..., j, None]
+                poly *= share[..., j, None]
+                poly[..., 1:] += taken
+        out[..., i] = (known[..., i] - share[..., i]) * (poly @ np.array(weight))
+    return out
+
+
+def attribute(x: np.ndarray, leaves: list[dict], deepest: int = 10) -> np.ndarray:
     """Path-dependent Shapley values of the summed trees for rows ``x``.
 
-    For one leaf, a feature on its path is either known (1 if the row satisfies its condition,
-    else 0) or averaged (its share). The leaf's game is a product over these features, so the
-    sum over coalitions is a polynomial in the number of known features.
+    For one leaf, a feature on its path is either known (1 if the row satisfies its condition, else 0) or averaged
+    (its share). Which conditions a row satisfies is one of 2^features patterns, so a leaf's values are tabulated once by pattern
+    and each row looks its own up; paths of more than ``deepest`` features are worked out for each row.
     """
     phi = np.zeros(x.shape)
-    for leaf in leaves:
-        features = list(leaf["path"])
-        depth = len(features)
-        if not depth:
-            continue
-        known = [((x[:, f] > leaf["path"][f][0]) & (x[:, f] <= leaf["path"][f][1])).astype(float) for f in features]
-        share = [leaf["path"][f][2] for f in features]
-        weight = [math.factorial(s) * math.factorial(depth - 1 - s) / math.factorial(depth) for s in range(depth)]
-        for i, f in enumerate(features):
-            poly = [np.ones(len(x))] + [np.zeros(len(x))] * (depth - 1)
-            filled = 0
-            for j in range(depth):
-                if j == i:
-                    continue
-                filled += 1
-                for s in range(filled, -1, -1):
-                    poly[s] = poly[s] * share[j] + (poly[s - 1] * known[j] if s else 0)
-            total = sum(w * p for w, p in zip(weight, poly))
-            phi[:, f] += leaf["value"] * (known[i] - share[i]) * total
+    for features, low, high, share, value in grouped(leaves, deepest):
+        depth = features.shape[1]
+        met = np.stack([(x[:, features[:, i]] > low[:, i]) & (x[:, features[:, i]] <= high[:, i]) for i in range(depth)], axis=2)
+        if depth <= deepest:
+            patterns = (np.arange(1 << depth)[:, None] >> np.arange(depth)) & 1
+            table = shapley(patterns[None].astype(float), share[:, None, :]) * value[:, None, None]
+            own = table[np.arange(len(value))[None, :], met @ (1 << np.arange(depth))]
+        else:
+            own = shapley(met.astype(float), share[None]) * value[None, :, None]
+        for i in range(depth):
+            # leaves that ask the same feature at this place are added up together
+            place = np.zeros((len(value), x.shape[1]))
+            place[np.arange(len(value)), features[:, i]] = 1
+            phi += own[:, :, i] @ place
     return phi
 
 
-def attributions(model: PipelineModel, rows: DataFrame, names: list[str]) -> DataFrame:
-    """(symbol, ts, base, margin, attribution: one number per feature) for each row.
+def attributions(model: PipelineModel, rows: DataFrame, names: list[str], batch: int = 512) -> DataFrame:
+    """(symbol, ts, values, base, margin, attribution: one number per feature) for each row; with several classes
+    a row for each ``class``, explained by that class's own trees.
 
-    The trees go to every task once; rows are explained in Arrow batches.
+    The trees go to every task once; rows are explained ``batch`` at a time.
     """
     spark = rows.sparkSession
-    leaves = leaf_table(model, spark)
-    shared = spark.sparkContext.broadcast(leaves)  # bounded by trees * 2^depth
-    start = base_value(leaves)
+    classes = sorted(class_columns(model))
+    # stages after the assembler are the boosted models, in order of their classes
+    tables = [leaf_table(stage, spark) for stage in model.stages[1:]]
+    shared = spark.sparkContext.broadcast(tables)  # bounded by models * trees * 2^depth
+    starts = [base_value(leaves) for leaves in tables]
     width = len(names)
     values = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in names])
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = np.vstack(pdf["values"].values) if len(pdf) else np.zeros((0, width))
-            phi = attribute(x, shared.value)
-            yield pd.DataFrame(
-                {"symbol": pdf["symbol"], "ts": pdf["ts"], "values": pdf["values"], "base": start, "margin": start + phi.sum(1), "attribution": list(phi)}
-            )
+        for whole in batches:
+            for i in range(0, len(whole), batch):
+                pdf = whole.iloc[i:i + batch]
+                x = np.vstack(pdf["values"].values).reshape(len(pdf), width)
+                for k, leaves in enumerate(shared.value):
+                    phi = attribute(x, leaves)
+                    own = {"symbol": pdf["symbol"], "ts": pdf["ts"], "values": pdf["values"], "base": starts[k], "margin": starts[k] + phi.sum(1), "attribution": list(phi)}
+                    yield pd.DataFrame({**own, "class": classes[k]} if classes else own)
 
     schema = "symbol string, ts timestamp_ntz, values array<double>, base double, margin double, attribution array<double>"
-    return rows.select("symbol", "ts", values.alias("values")).mapInPandas(explain, schema)
+    return rows.select("symbol", "ts", values.alias("values")).mapInPandas(explain, schema + (", class double" if classes else ""))
 
 
 def global_importance(explained: DataFrame, names: list[str], top: int = 20) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.config import EvaluationConfig
+from tidemark.session import side_by_side
 
 ROLES = ("train", "val", "test")
 
@@ -79,23 +80,25 @@ def cross_validate(
     predict: Callable[[object, DataFrame], DataFrame],
     metrics: Callable[[DataFrame], DataFrame],
     config: EvaluationConfig = EvaluationConfig(),
+    at_once: int = 8,
 ) -> tuple[DataFrame, DataFrame]:
     """Train per fold and score its three parts, each a range of dates of ``rows``.
 
     ``train`` gets the training and validation rows, ``predict`` a model and rows, ``metrics``
-    scored rows and returns (metric, value). The loop runs over the handful of folds; each step
-    is a distributed job, and no row is copied. Returns the tall fold metrics and their aggregate.
+    scored rows and returns (metric, value). The handful of folds are concurrent jobs (a scheduler pool each), ``at_once`` of them,
+    and no row is copied; the error of a failing fold names it. Returns the tall fold metrics and their aggregate.
     """
     found: dict[int, dict[str, DataFrame]] = {}
     for fold, role, a, b in fold_parts(rows, config):
         low, high = (F.lit(x).cast("timestamp_ntz") for x in (a, b))
         found.setdefault(fold, {})[role] = rows.filter((F.col("ts") >= low) & (F.col("ts") < high))
-    parts: list[DataFrame] = []
-    for fold, of in found.items():
+
+    def scored(fold: int) -> list[DataFrame]:
+        of = found[fold]
         model = train(of["train"], of["val"])
-        for role in ROLES:
-            scored = metrics(predict(model, of[role]))
-            parts.append(scored.select(F.lit(fold).alias("fold"), F.lit(role).alias("role"), "metric", "value"))
+        return [metrics(predict(model, of[role])).select(F.lit(fold).alias("fold"), F.lit(role).alias("role"), "metric", "value") for role in ROLES]
+
+    parts = [part for fold in side_by_side(rows.sparkSession, scored, list(found), at_once) for part in fold]
     if not parts:
         raise ValueError("the date range is too short for one fold")
     tall = parts[0]

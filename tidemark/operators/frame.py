@@ -96,13 +96,17 @@ def shard_of(rn: Column, size: int = SIZE) -> Column:
 
 
 def with_halo(positioned: DataFrame, before: int = 0, after: int = 0, size: int = SIZE) -> DataFrame:
-    """Copy rows into every shard that needs them; ``core`` marks the owning shard."""
+    """Copy rows into every shard that needs them; ``core`` marks the owning shard.
+
+    Shards are dealt to as many tasks as shuffles have: the rows are few and narrow but what is done with them is dear, so
+    merging small partitions by their bytes would leave one task to do it all.
+    """
     rn, n = F.col("rn"), F.col("n")
     first = F.greatest(F.lit(0), F.floor((rn - 1 - after) / size))
     last = F.least(F.floor((n - 1) / size), F.floor((rn - 1 + before) / size))
-    return positioned.withColumn("shard", F.explode(F.sequence(first, last))).withColumn(
-        "core", F.col("shard") == shard_of(rn, size)
-    )
+    parts = int(positioned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    copied = positioned.withColumn("shard", F.explode(F.sequence(first, last))).withColumn("core", F.col("shard") == shard_of(rn, size))
+    return copied.repartition(parts, "symbol", "shard")
 
 
 def core_rows(framed: DataFrame) -> DataFrame:

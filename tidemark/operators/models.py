@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from pyspark import SparkContext
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, MultilayerPerceptronClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.config import ModelConfig
 from tidemark.functions.exprs import back
 from tidemark.operators.frame import SIZE, core_rows, grouped_quantile, with_halo
-from tidemark.session import cut
+from tidemark.session import cut, side_by_side
 
 CLASS = "class_"  # how the probability columns of one class against the rest begin
+CUT = 10  # rounds of boosting between two writes of the margins
 
 
 def cut_date(df: DataFrame, share: float):
@@ -38,7 +39,7 @@ def training_set(
     the last part of the training time, never on the test rows.
     """
     joined = features.join(labels.select("symbol", "ts", F.col(target).cast("double").alias("label")), ["symbol", "ts"])
-    rows = joined.filter("label IS NOT NULL")
+    rows = cut(joined.filter("label IS NOT NULL"))  # read three times below
     return split(rows.select("symbol", "ts", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names], "label"), config)
 
 
@@ -76,24 +77,25 @@ def _fit_rows(rows: DataFrame) -> DataFrame:
 def boosted_trees(rows: DataFrame, names: list[str], kind: str = "binary", config: ModelConfig = ModelConfig()) -> PipelineModel:
     """Gradient-boosted trees for ``binary``, ``regression`` or ``multiclass`` labels.
 
-    The trees are fitted on the training rows and kept up to the smallest validation error (:func:`best_count`).
+    The trees are fitted on the training rows and kept up to the smallest validation error (:func:`boost`).
     """
-    common = dict(
-        featuresCol="features", labelCol="label", maxDepth=config.depth, stepSize=config.learning_rate,
-        seed=config.seed, maxIter=config.trees,
-    )
     if kind == "regression":
-        stage = GBTRegressor(**common)
-        fit_rows = _fit_rows(rows)
+        stage, fit_rows = GBTRegressor(**_settings(config)), _fit_rows(rows).withColumn("weight", F.lit(1.0))
     elif kind == "binary":
-        stage = GBTClassifier(weightCol="weight", **common)
-        fit_rows = _fit_rows(weighted(rows, config))
+        stage, fit_rows = GBTClassifier(**_settings(config)), _fit_rows(weighted(rows, config))
     elif kind == "multiclass":
-        return _one_vs_rest(rows, names, common, config)
+        return _one_vs_rest(rows, names, config)
     else:
         raise ValueError(f"unknown kind {kind}")
     assembler = _assembler(names)
-    return PipelineModel([assembler, _fitted(stage, assembler.transform(fit_rows), config)])
+    return PipelineModel([assembler, boost(stage, dealt(assembler.transform(fit_rows)), config)])
+
+
+def _settings(config: ModelConfig) -> dict[str, object]:
+    return {
+        "featuresCol": "features", "labelCol": "label", "maxDepth": config.depth, "stepSize": config.learning_rate, "seed": config.seed,
+        "maxIter": config.trees, "weightCol": "weight",
+    }
 
 
 def best_count(errors: list[float], config: ModelConfig = ModelConfig()) -> tuple[int, bool]:
@@ -108,58 +110,79 @@ def best_count(errors: list[float], config: ModelConfig = ModelConfig()) -> tupl
     return best + 1, False
 
 
-def _first_trees(model, count: int):
-    """The model of the first ``count`` trees; MLlib has no public way to say it."""
-    java = model._java_obj
-    parts = [java.uid(), java.trees()[:count], java.treeWeights()[:count], java.numFeatures()]
-    maker = SparkContext._active_spark_context._jvm
-    for name in java.getClass().getName().split("."):
-        maker = getattr(maker, name)
-    if model.hasParam("probabilityCol"):
-        parts.append(java.numClasses())
-    return model._copyValues(type(model)(maker(*parts)))
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows to fit on, stored: as many parts as shuffles have, dealt and sorted by their content, so that reruns agree."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    narrow = rows.select("features", "label", "weight", "is_validation").withColumn("_h", F.xxhash64(vector_to_array("features"), "label"))
+    return cut(narrow.repartition(parts, "_h").sortWithinPartitions("_h").drop("_h"))
 
 
-def _fitted(stage, rows: DataFrame, config: ModelConfig):
-    """``stage`` fitted on the training rows, with as many trees as the validation rows ask for.
+def boost(stage, rows: DataFrame, config: ModelConfig = ModelConfig()):
+    """The boosted model ``stage`` asks for, grown one tree a round on stored margins, with the stop inside the loop.
 
-    The first trees do not depend on how many follow, so fits double until the patience has run out within one or all
-    trees are there. Without validation rows all trees are kept.
+    Each round fits a regression tree to the loss's steepest descent at the margins so far, adds it to the margins and
+    keeps the validation loss, all in one pass over the rows. It ends when ``patience`` rounds in a row have not lowered that loss,
+    and keeps the trees up to the lowest; without validation rows all trees are grown. These are the trees of one MLlib fit of
+    that length (its first tree counts whole, later ones by the learning rate). Margins are written out every ``CUT`` rounds.
     """
-    columns = [stage.getFeaturesCol(), stage.getLabelCol(), *(["weight"] if "weight" in rows.columns else [])]
-    rows = cut(rows.select(*columns, "is_validation"))
-    train, check = rows.filter("not is_validation"), rows.filter("is_validation")
-    checked = not check.isEmpty()
-    trees = min(config.trees, config.patience + 1) if checked else config.trees
-    while True:
-        model = stage.copy({stage.maxIter: trees}).fit(train)
-        if not checked:
-            return model
-        count, ended = best_count(_errors(model, check), config)
-        if ended or trees == config.trees:
-            return _first_trees(model, count)
-        trees = min(config.trees, 2 * trees)
-
-
-def _errors(model, rows: DataFrame) -> list[float]:
-    """The loss on ``rows`` after each tree."""
-    found = model.evaluateEachIteration(rows, model.getLossType()) if isinstance(model, GBTRegressionModel) else model.evaluateEachIteration(rows)
-    return [float(x) for x in found]
-
-
-def _one_vs_rest(rows: DataFrame, names: list[str], common: dict, config: ModelConfig) -> PipelineModel:
-    """One boosted model per class, each with its own early stop; a list of class labels is all the driver sees."""
-    fit_rows = cut(_fit_rows(weighted(rows, config)))
+    binary = isinstance(stage, GBTClassifier)
+    label = F.col("label") * 2 - 1 if binary else F.col("label")
+    state = rows.select("features", "weight", "is_validation", label.alias("y"), F.lit(0.0).alias("margin")).persist()
+    y, margin = F.col("y"), F.col("margin")
+    slope = y * 4 / (F.exp(y * margin * 2) + 1) if binary else (y - margin) * 2
+    # log(1 + exp(z)) without overflow
+    z = y * margin * -2
+    loss = (F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z)))) * 2 if binary else (y - margin) * (y - margin)
+    tree_fit = DecisionTreeRegressor(featuresCol="features", labelCol="goal", weightCol="weight", predictionCol="step", maxDepth=config.depth)
+    checked = not rows.filter("is_validation").isEmpty()
+    trees, errors = [], []
+    while len(trees) < config.trees:
+        train = state.filter("not is_validation").withColumn("goal", slope if trees else y)
+        tree = tree_fit.copy({tree_fit.seed: config.seed + len(trees)}).fit(train)
+        share = config.learning_rate if trees else 1.0
+        trees.append(tree)
+        moved = tree.transform(state).withColumn("margin", margin + F.col("step") * share).drop("step")
+        after = (cut(moved) if len(trees) % CUT == 0 else moved).persist()
+        held = F.when(F.col("is_validation"), F.col("weight"))
+        error = after.agg(F.sum(held * loss) / F.sum(held)).first()[0]
+        state.unpersist()
+        state = after
+        if checked:
+            errors.append(error)
+            if best_count(errors, config)[1]:
+                break
+    state.unpersist()
+    return _ensemble(stage, trees[:best_count(errors, config)[0]] if checked else trees, config)
+
+
+def _ensemble(stage, trees: list, config: ModelConfig):
+    """A model of MLlib's own kind from fitted trees, by its public constructor."""
+    gateway = SparkContext._active_spark_context._gateway
+    ml = gateway.jvm.org.apache.spark.ml
+    members = gateway.new_array(ml.regression.DecisionTreeRegressionModel, len(trees))
+    shares = gateway.new_array(gateway.jvm.double, len(trees))
+    for i, tree in enumerate(trees):
+        members[i], shares[i] = tree._java_obj, config.learning_rate if i else 1.0
+    if isinstance(stage, GBTClassifier):
+        model = GBTClassificationModel(ml.classification.GBTClassificationModel(stage.uid, members, shares))
+        model.setRawPredictionCol(stage.getRawPredictionCol()).setProbabilityCol(stage.getProbabilityCol())
+    else:
+        model = GBTRegressionModel(ml.regression.GBTRegressionModel(stage.uid, members, shares))
+    return model.setFeaturesCol(stage.getFeaturesCol()).setPredictionCol(stage.getPredictionCol())
+
+
+def _one_vs_rest(rows: DataFrame, names: list[str], config: ModelConfig) -> PipelineModel:
+    """One boosted model per class, each with its own early stop, grown side by side; a list of class labels is all the driver sees."""
+    assembler = _assembler(names)
+    fit_rows = dealt(assembler.transform(_fit_rows(weighted(rows, config))))
     classes = sorted(r[0] for r in fit_rows.filter("not is_validation").select("label").distinct().collect())
-    stages = [_assembler(names)]
-    for c in classes:
+
+    def grown(c: float):
         tag = repr(float(c)).replace(".", "p")
-        stage = GBTClassifier(
-            weightCol="weight", predictionCol=f"_is_{tag}", **{**common, "labelCol": "_own"},
-        ).setProbabilityCol(f"{CLASS}{tag}").setRawPredictionCol(f"_raw_{tag}")
-        own = fit_rows.withColumn("_own", (F.col("label") == c).cast("double"))
-        stages.append(_fitted(stage, stages[0].transform(own), config))
-    return PipelineModel(stages)
+        stage = GBTClassifier(**_settings(config), predictionCol=f"_is_{tag}").setProbabilityCol(f"{CLASS}{tag}").setRawPredictionCol(f"_raw_{tag}")
+        return boost(stage, fit_rows.withColumn("label", (F.col("label") == c).cast("double")), config)
+
+    return PipelineModel([assembler, *side_by_side(rows.sparkSession, grown, classes)])
 
 
 def class_columns(model: PipelineModel) -> dict[float, str]:
@@ -194,9 +217,12 @@ def importance(model: PipelineModel, names: list[str]) -> DataFrame:
     """Gain importance per feature, largest first; the mean over the classes where each has its own trees."""
     from pyspark.sql import SparkSession
 
-    values = sum(m.featureImportances.toArray() for m in model.stages[1:]) / len(model.stages[1:])
+    values = [0.0] * len(names)
+    for m in model.stages[1:]:
+        for i, v in enumerate(m.featureImportances.toArray()):  # ends at the last feature that a tree asks
+            values[i] += float(v) / len(model.stages[1:])
     spark = SparkSession.getActiveSession()
-    table = spark.createDataFrame(list(zip(names, [float(v) for v in values])), "feature string, importance double")
+    table = spark.createDataFrame(list(zip(names, values)), "feature string, importance double")
     return table.orderBy(F.desc("importance"), "feature")
 
 

@@ -27,20 +27,31 @@ def label_table(clean: DataFrame, settings: Settings = Settings(), compat: bool
     return L.labels(clean, settings.labels, compat)
 
 
-def train(clean: DataFrame, target: str = "label_up_10d", kind: str = "binary", settings: Settings = Settings()) -> dict[str, object]:
-    """Training rows, model, scored test rows, test metrics and importance."""
+def training_rows(clean: DataFrame, target: str = "label_up_10d", settings: Settings = Settings()) -> dict[str, object]:
+    """Feature columns with label and role, stored, and the names of the features."""
     names = X.feature_names(settings.features)
-    rows = cut(M.training_set(feature_table(clean, settings), label_table(clean, settings), target, names, settings.models))
+    rows = M.training_set(feature_table(clean, settings), label_table(clean, settings), target, names, settings.models)
+    return {"rows": rows, "names": names}
+
+
+def fitted(rows: DataFrame, names: list[str], kind: str = "binary", settings: Settings = Settings()) -> dict[str, object]:
+    """Model, scored test rows, test metrics and importance."""
     model = M.boosted_trees(rows, names, kind, settings.models)
     test = cut(M.predict(model, rows.filter("role = 'test'"), names).drop("features"))
     scores = metrics.regression(test) if kind == "regression" else metrics.classification(test)
-    out = {"rows": rows, "names": names, "model": model, "test": test, "metrics": scores, "importance": M.importance(model, names)}
+    out = {"model": model, "test": test, "metrics": scores, "importance": M.importance(model, names)}
     if kind == "multiclass":
         labels = sorted(M.class_columns(model))
         out["auc"] = metrics.one_vs_rest_auc(test, len(labels), classes=labels)
     return out
 
 
+def train(clean: DataFrame, target: str = "label_up_10d", kind: str = "binary", settings: Settings = Settings()) -> dict[str, object]:
+    """Training rows, model, scored test rows, test metrics and importance."""
+    ready = training_rows(clean, target, settings)
+    return {**ready, **fitted(ready["rows"], ready["names"], kind, settings)}
+
+
 def backtest_scores(clean: DataFrame, scored: DataFrame, threshold: float = 0.5, settings: Settings = Settings()) -> dict[str, DataFrame]:
     """Backtest of out-of-sample scores: only the scored rows are traded, renumbered."""
     from tidemark.operators.frame import position
