@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tidemark.llm import multi_index
+from tidemark.llm import multi_index, simhash
 
 SCHEMA = "vec_id bigint, embedding array<float>, label int, score string"
 
@@ -21,3 +21,17 @@ def test_copies_use_up_no_budget_of_other_cells(spark):
     alone, beside = scores(spark.createDataFrame(rows, SCHEMA)), scores(spark.createDataFrame(rows + copies, SCHEMA))
     assert set(alone) == set(beside) == set(range(0, 1000, 50))
     assert all((beside[q] >= alone[q] - 1e-9).all() for q in alone)
+
+
+def test_texts_that_share_an_id_are_judged_apart(spark):
+    one, two = " ".join(f"alpha{i}" for i in range(30)), " ".join(f"beta{i * 7}" for i in range(30))
+    rows = [(1, one, "a"), (1, two, "a"), (2, one, "b"), (None, two, "c"), (None, "gamma delta " * 9, "d"), (None, "gamma delta " * 9, "d"), (3, None, "e"), (4, "", "f"), (5, one, "b"), (5, one, "a")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, nth string")
+    got = sorted(map(tuple, simhash.keep_one(docs).collect()), key=str)
+    assert got == sorted([(1, one, "a"), (1, two, "a"), (None, "gamma delta " * 9, "d"), (3, None, "e")], key=str)
+    assert got == sorted(map(tuple, simhash.keep_one(docs.orderBy("nth").repartition(3)).collect()), key=str)
+
+
+def test_keeping_one_of_an_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id bigint, text string, fp string")
+    assert simhash.keep_one(docs).count() == 0 and simhash.keep_one(docs).columns == docs.columns

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import langid, lm_score, mixing, pieces, quality, simhash, token_counts, toxicity
 from tidemark.llm.common import kth_largest, span_hashes, words_of
@@ -260,3 +261,29 @@ def test_empty_tables(spark, odd, labels, model):
     assert mixing.taken(none).count() == 0 and mixing.mixed(none).count() == 0
     assert quality.resample(none, labels.limit(0))[0].count() == 0
     assert toxicity.score(none, toxicity.fit(none, labels, labels.doc_id >= 0)).count() == 0
+
+
+def test_a_language_with_one_text_is_learned(spark):
+    english = [(i, f"the river ran past the old mill and number {i} was there again", "en") for i in range(40)]
+    for seed in range(6):
+        docs = spark.createDataFrame([*english, (99, f"le château était fermé ce matin là {'z' * seed}", "fr")], "doc_id bigint, text string, lang string")
+        model = langid.fit(docs, F.lit(True), seed=seed)
+        assert model.names == ["en", "fr"]
+        assert {r.lang_pred for r in langid.predict(docs.filter("doc_id = 99"), model).collect()} == {"fr"}
+
+
+def test_ids_are_committed_inside_a_sentence(model):
+    known, _ = pieces.load(model)
+    text = "The search keeps a window that no text outgrows and commits ids whenever all surviving paths run through one boundary."
+    before = known.commits
+    whole = known.segment(pieces.BLANK + text.replace(" ", pieces.BLANK))
+    assert known.commits > before and whole == processor(model).encode(text)
+    assert np.frombuffer(known.encode(text), np.int32).tolist() == whole
+
+
+def test_memory_of_spans_keeps_what_is_common():
+    asked = []
+    memo = pieces.Memo(lambda k: asked.append(k) or k, 4)
+    for k in [1, 2, 3, 4, 5, 1, 6, 7, 8, 1, 9, 2]:
+        assert memo[k] == k
+    assert len(memo) <= 4 and asked.count(1) == 1

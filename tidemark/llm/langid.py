@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm.common import by_bytes, chance, mix, replaced, stored, texts_of
@@ -72,33 +73,43 @@ def grams(codes: np.ndarray, order: int) -> np.ndarray:
     return packed
 
 
-def counted(texts: DataFrame, label: str) -> list[tuple[str, int, int]]:
-    """(language, packed highest-order n-gram, count) over a bounded sample of (label, text)."""
+def counted(texts: DataFrame) -> pa.Table:
+    """(label, gram, n, part): packed highest-order n-grams of each language, counted over all rows of a bounded sample and over those
+    with ``own``. Numbers alone come to the driver, as Arrow columns."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", 1 << 20):
-            names = batch.column(label).to_pylist()
+            names, owned = batch.column("label").to_pylist(), batch.column("own").to_pylist()
+            texts_here = texts_of(batch, "text")
             for name in sorted(set(names)):
-                codes, owner = codes_of([t for t, l in zip(texts_of(batch, "text"), names) if l == name])
-                keys, n = np.unique(grams(codes, ORDER)[owner >= 0], return_counts=True)
+                rows = [i for i, l in enumerate(names) if l == name]
+                codes, owner = codes_of([texts_here[i] for i in rows])
+                held = owner >= 0
+                keys, at = np.unique(grams(codes, ORDER)[held], return_inverse=True)
+                part = np.array([owned[i] for i in rows], bool)[owner[held]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n, pa.int64())], names=["label", "gram", "n"])
+                    [pa.array([name] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(np.bincount(at, minlength=len(keys)).astype(np.int64)),
+                     pa.array(np.bincount(at, weights=part, minlength=len(keys)).astype(np.int64))], names=["label", "gram", "n", "part"])
 
-    return [tuple(r) for r in texts.mapInArrow(run, "label string, gram bigint, n bigint").groupBy("label", "gram").agg(F.sum("n")).collect()]
+    found = texts.mapInArrow(run, "label string, gram bigint, n bigint, part bigint").groupBy("label", "gram").agg(F.sum("n").alias("n"), F.sum("part").alias("part"))
+    return found.toArrow()
 
 
 class Model:
     """Sorted hash arrays of one joint table per order, and what calibrates rejection."""
 
-    def __init__(self, rows: list[tuple[str, int, int]]):
-        self.names = sorted({r[0] for r in rows})
-        number = {name: i for i, name in enumerate(self.names)}
+    def __init__(self, labels: pa.ChunkedArray | pa.Array, packed: np.ndarray, times: np.ndarray):
+        coded = pc.dictionary_encode(labels.combine_chunks() if isinstance(labels, pa.ChunkedArray) else labels)
+        given = coded.dictionary.to_pylist()
+        self.names = sorted(given)
+        number = np.array([self.names.index(name) for name in given], np.int64)
         L = max(1, len(self.names))
-        raw = np.array([r[1] for r in rows], np.int64).view(np.uint64)
+        raw = packed.view(np.uint64)
         tables, counts = [None] * (ORDER + 1), [None] * (ORDER + 1)
         tables[ORDER], at = np.unique(raw, return_inverse=True)
         counts[ORDER] = np.zeros((len(tables[ORDER]), L))
-        np.add.at(counts[ORDER], (at, [number[r[0]] for r in rows]), [r[2] for r in rows])
+        if len(raw):
+            np.add.at(counts[ORDER], (at, number[coded.indices.to_numpy()]), times)
         for n in range(ORDER - 1, 0, -1):  # different left neighbours
             tables[n], at = np.unique(tables[n + 1] & np.uint64((1 << 16 * n) - 1), return_inverse=True)
             counts[n] = np.zeros((len(tables[n]), L))
@@ -185,30 +196,45 @@ class Model:
 
 
 def fit(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str = "lang", chars: int = 12_000_000, seed: int = 1) -> Model:
-    """Models of the languages of the rows where ``train`` holds. Half as many characters again, of other rows, calibrate rejection."""
+    """Models of the languages of the rows where ``train`` holds, from about ``chars`` characters of their texts, the same share for each language;
+    a language that has fewer gives all it has, so none is left out.
+
+    Rejection is calibrated by cross-fitting: a second model of two thirds of these texts says how unlike its language a text it has not seen is.
+    A language whose texts all fall on one side (one text, or copies of it) is calibrated on the texts of the fit.
+    """
     narrow = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("label"), chance(seed, F.col(text_col)).alias("_u"), train.alias("_train"))
     narrow = narrow.filter("_train and label is not null and text is not null")
     totals = {r[0]: r[1] for r in narrow.groupBy("label").agg(F.sum(F.length("text").cast("long"))).collect()}
     if not totals:
-        return Model([])
+        return Model(pa.array([], pa.string()), np.empty(0, np.int64), np.empty(0, np.int64))
     each = chars / len(totals)
-    share = F.create_map(*[F.lit(x) for name, n in totals.items() for x in (name, min(2 / 3, each / max(n, 1)))])[F.col("label")]
-    sample = stored(narrow.filter(F.col("_u") < 1.5 * share).select("label", "text", (F.col("_u") < share).alias("own")))
-    rows = counted(sample.filter("own"), "label")
-    model = Model(rows if rows else counted(sample, "label"))
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    share = F.create_map(*[F.lit(x) for name, n in totals.items() for x in (name, min(1.0, each / max(n, 1)))])[F.col("label")]
+    sample = stored(narrow.filter(F.col("_u") < share).select("label", "text", (F.col("_u") < share * (2 / 3)).alias("own")))
+    rows = counted(sample)
+    packed, part = rows.column("gram").to_numpy(), rows.column("part").to_numpy()
+    model = Model(rows.column("label"), packed, rows.column("n").to_numpy())
+    seen = part > 0
+    crossed = Model(rows.column("label").combine_chunks().filter(pa.array(seen)) if len(seen) else pa.array([], pa.string()), packed[seen], part[seen])
+
+    def entropies_of(judge: Model, texts: DataFrame) -> list[tuple[str, float, int]]:
+        shipped = docs.sparkSession.sparkContext.broadcast(judge)
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in by_bytes(batches, "text", 1 << 19):
+                names = batch.column("label").to_pylist()
+                e, n = shipped.value.entropies(texts_of(batch, "text"))
+                own = [shipped.value.names.index(l) if l in shipped.value.names else -1 for l in names]
+                rows = [(l, float(e[i, k]), int(n[i])) for i, (l, k) in enumerate(zip(names, own)) if k >= 0 and n[i]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.int64())],
+                    names=["label", "e", "n"])
 
-    def held(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text", 1 << 19):
-            names = batch.column("label").to_pylist()
-            e, n = shipped.value.entropies(texts_of(batch, "text"))
-            own = [shipped.value.names.index(l) if l in shipped.value.names else -1 for l in names]
-            rows = [(l, float(e[i, k]), int(n[i])) for i, (l, k) in enumerate(zip(names, own)) if k >= 0 and n[i]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.int64())],
-                names=["label", "e", "n"])
+        return [tuple(r) for r in texts.mapInArrow(run, "label string, e double, n bigint").collect()]
 
-    model.calibrate([tuple(r) for r in sample.filter("not own").mapInArrow(held, "label string, e double, n bigint").collect()])
+    unseen = entropies_of(crossed, sample.filter("not own")) if crossed.names else []
+    # languages with all their texts on one side are judged by texts of the fit
+    lone = sorted(set(model.names) - {r[0] for r in unseen})
+    model.calibrate(unseen + (entropies_of(model, sample.filter(F.col("label").isin(lone))) if lone else []))
     return model
 
 

@@ -11,6 +11,10 @@ pieces is stable, that is, merging the joined pair from characters gives just th
 came up in the whole text, the same merge would come up in the pair alone, and the other way round.) A prefix of such a path is the path of the prefix, so
 one backpointer per place holds all that is needed.
 
+The search runs over the whole text. Borders that no piece of the vocabulary crosses (before a blank, between letters that stand side by side
+in no piece) are places where all paths meet, so ids are committed there without asking, and what the search found between two
+of them is remembered for the next time. Between borders it commits wherever the paths in the window have met.
+
 Characters outside the vocabulary become their UTF-8 bytes if the model has byte pieces, else the unknown id.
 Null and empty texts give no ids. The texts' own blanks are kept, so decoding returns the text (with byte pieces and
 without the blank's escape sign in the text).
@@ -18,31 +22,37 @@ without the blank's escape sign in the text).
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.common import by_bytes, replaced, texts_of
 
 BLANK = "▁"
+TAIL = 4
 
 
 class Memo(dict):
-    """A dictionary that computes what it lacks and starts anew beyond ``size`` entries."""
+    """A dictionary that computes what it lacks and holds up to ``size`` entries and the ``size`` before them, so that what is common stays."""
 
     def __init__(self, compute, size: int):
         super().__init__()
-        self.compute, self.size = compute, size
+        self.compute, self.size, self.older = compute, size, {}
 
     def __missing__(self, key):
         if len(self) >= self.size:
+            self.older = dict(self)
             self.clear()
-        value = self[key] = self.compute(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.compute(key)
+        self[key] = value
         return value
 
 
@@ -52,20 +62,28 @@ class Segmenter:
     def __init__(self, pieces: dict[str, tuple[int, float]], merges: bool, byte_ids: list[int] | None, unk: int = 0, prefix: bool = True):
         self.pieces, self.merges, self.byte_ids, self.unk, self.prefix = pieces, merges, byte_ids, unk, prefix
         self.width = max(map(len, pieces), default=1)
+        self.commits = 0  # made inside spans
         self.floor = min((s for _, s in pieces.values()), default=0.0) - 10.0
-        tails: dict[str, set[int]] = {}
+        longer: dict[str, set[int]] = {}
         for p in pieces:
-            tails.setdefault(p[-3:], {1, 2}).add(len(p))
-        self.tails = {tail: tuple(sorted(sizes, reverse=True)) for tail, sizes in tails.items()}
+            if len(p) > TAIL:
+                longer.setdefault(p[-TAIL:], set()).add(len(p))
+        self.longer = {tail: tuple(sorted(sizes, reverse=True)) for tail, sizes in longer.items()}
         crossing = any(BLANK in p.lstrip(BLANK) for p in pieces)
-        self.spans = regex.compile(r"(?s).+" if crossing else rf"{BLANK}*[^{BLANK}]+|{BLANK}+")
+        # no piece crosses the border of a span: all paths meet there, and what a span commits can be remembered
+        self.spans = re.compile(r"(?s).+" if crossing else rf"{BLANK}*[^{BLANK}]+|{BLANK}+")
+        self.sizes = Memo(self._sizes, 1 << 16)
         self.followers = Memo(self._followers, 1 << 13)
-        self.starts = Memo(self._beginnings, 1 << 16)
-        self.ends = Memo(lambda piece: [piece[i:] for i in range(len(piece))], 1 << 16)
+        self.starts = Memo(self._beginnings, 1 << 15)
+        self.ends = Memo(lambda piece: [piece[i:] for i in range(len(piece))], 1 << 15)
         self.beside = {pair for p in pieces for pair in zip(p, p[1:])}
-        self.final: dict[str, str] = {}
-        self.packed = Memo(lambda span: b"".join(map(self.parts.__getitem__, self._split(span))), 1 << 17)
-        self.parts = Memo(self._packed, 1 << 18)
+        self.packed = Memo(lambda span: b"".join(map(self.parts.__getitem__, self._split(span))), 1 << 16)
+        self.parts = Memo(lambda part: array("i", self.segment(part)).tobytes(), 1 << 17)
+
+    def _sizes(self, tail: str) -> tuple[int, ...]:
+        """How long pieces may be that end in the (up to) ``TAIL`` characters, longest first; those beyond ``TAIL`` need a look."""
+        short = tuple(k for k in range(len(tail), 1, -1) if tail[-k:] in self.pieces)
+        return (self.longer.get(tail, ()) + short + (1,)) if tail else (1,)
 
     def _followers(self, left: str) -> Memo:
         return Memo(lambda right: self._stable(left, right), 1 << 14)
@@ -101,69 +119,43 @@ class Segmenter:
         return [self.unk] if self.byte_ids is None else [self.byte_ids[b] for b in piece.encode()]
 
     def segment(self, text: str) -> list[int]:
-        """Ids of one span, committed as soon as all surviving paths agree."""
+        """Ids of a text, committed as soon as all surviving paths agree."""
         ids: list[int] = []
-        base, n, width, pieces, tails, merges = 0, len(text), self.width, self.pieces, self.tails, self.merges
+        base, n, width, pieces, sizes, merges = 0, len(text), self.width, self.pieces, self.sizes, self.merges
+        followers = self.followers
         last = [""]  # last[i]: the piece that ends at base + i
-        state = [self.followers[""] if merges else 0.0]  # what may follow there, or the score of the path
+        state = [followers[""] if merges else 0.0]  # what may follow there, or the score of the path
         for end in range(1, n + 1):
-            piece, total = "", None
-            for size in tails.get(text[max(base, end - 3):end], (2, 1)):
-                start = end - size
-                here = text[start:end]
-                if start < base or here not in pieces and size > 1:
+            piece, total, held = "", None, end - base
+            for size in sizes[text[end - TAIL if held > TAIL else base:end]]:
+                if size > held:
+                    continue
+                here = text[end - size:end]
+                if size > TAIL and here not in pieces:
                     continue
                 if merges:
-                    if state[start - base][here]:
-                        piece, total = here, self.followers[here]
+                    if state[held - size][here]:
+                        piece, total = here, followers[here]
                         break
                 else:
-                    s = state[start - base] + (pieces[here][1] if here in pieces else self.floor)
+                    s = state[held - size] + (pieces[here][1] if here in pieces else self.floor)
                     if total is None or s > total:
                         piece, total = here, s
             last.append(piece)
             state.append(total)
-            if end - base >= 4 * width and end < n and (end - base) % width == 0:
-                at = self._meeting(last, end - base)
+            if held >= 4 * width and end < n and held % width == 0:
+                at = self._meeting(last, held)
                 if at:
                     ids += self._trace(last, at)
+                    self.commits += 1
                     last, state, base = last[at:], state[at:] if merges else [s - state[at] for s in state[at:]], base + at
         return ids + self._trace(last, n - base)
 
     def _split(self, span: str) -> list[str]:
-        """``span`` cut between characters that stand side by side in no piece, so that no piece crosses a cut."""
-        beside, cuts = self.beside, [0]
-        for i, pair in enumerate(zip(span, span[1:]), 1):
-            if pair not in beside:
-                cuts.append(i)
-        return [span[a:b] for a, b in zip(cuts, [*cuts[1:], len(span)])]
-
-    def _packed(self, span: str) -> bytes:
-        short = self.merges and len(span) <= 4 * self.width
-        return np.array(self.shared(span) if short else self.segment(span), np.int32).tobytes()
-
-    def shared(self, text: str) -> list[int]:
-        """The search of :meth:`segment` for a short span of a merge model, which keeps the backpointers of beginnings that other spans may share."""
-        final, pieces = self.final, self.pieces
-        if len(final) > 1 << 16:
-            final.clear()
-        n = done = len(text)
-        while done and text[:done] not in final:
-            done -= 1
-        for end in range(done + 1, n + 1):
-            for size in self.tails.get(text[max(0, end - 3):end], (2, 1)):
-                start = end - size
-                here = text[start:end] if start >= 0 else ""
-                if here in pieces or size == 1:
-                    if self.followers[final[text[:start]] if start else ""][here]:
-                        final[text[:end]] = here
-                        break
-        found, end = [], n
-        while end:
-            piece = final[text[:end]]
-            found.append(piece)
-            end -= len(piece)
-        return [i for piece in reversed(found) for i in self.ids_of(piece)]
+        """``span`` cut between characters that stand side by side in no piece: there, too, all paths meet."""
+        beside = self.beside
+        cuts = [i for i, pair in enumerate(zip(span, span[1:]), 1) if pair not in beside]
+        return [span[a:b] for a, b in zip([0, *cuts], [*cuts, len(span)])] if cuts else [span]
 
     def _meeting(self, last: list[str], end: int) -> int:
         """The last place that the paths of all places in the window run through."""
@@ -175,14 +167,19 @@ class Segmenter:
         return places.pop()
 
     def _trace(self, last: list[str], end: int) -> list[int]:
-        found = []
+        found, pieces = [], self.pieces
         while end:
-            found.append(last[end])
-            end -= len(last[end])
-        return [i for piece in reversed(found) for i in self.ids_of(piece)]
+            piece = last[end]
+            known = pieces.get(piece)
+            if known:
+                found.append(known[0])
+            else:
+                found += reversed(self.ids_of(piece))
+            end -= len(piece)
+        return found[::-1]
 
     def encode(self, text: str) -> bytes:
-        """The ids of a whole text as packed 32-bit integers; spans that no piece can cross are remembered."""
+        """The ids of a whole text as packed 32-bit integers: the search runs span by span, and what it found for a span is remembered."""
         if not text:
             return b""
         escaped = (BLANK if self.prefix else "") + text.replace(" ", BLANK)

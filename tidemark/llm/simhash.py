@@ -18,6 +18,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.llm.common import by_bytes, stored, texts_of
 from tidemark.llm.pairs import groups, roots, tiles
@@ -101,27 +102,43 @@ def verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint, component_id) per row; the component is the smallest doc_id reachable over links of at most 3 bits."""
-    marked = stored(fingerprints(docs, id_col, text_col))
+def components_of(marked: DataFrame) -> DataFrame:
+    """(fp, root, component_id) of the fingerprints in ``marked`` (doc_id, fp): the smallest fingerprint reachable over links of at most
+    3 bits, and the smallest doc_id among the rows of that component."""
     classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     met = tiles(cells(classes.select("fp")), ["half", "cell"], "fp", [])
     links = cut(met.select("self", "rows").mapInArrow(verified, "a bigint, b bigint").distinct())
     named = groups(links).withColumnsRenamed({"node": "fp"}).join(classes, "fp")
     least = named.groupBy("root").agg(F.min("first").alias("component"))
-    joined = classes.join(named.join(least, "root").select("fp", "component"), "fp", "left")
-    known = joined.select("fp", F.coalesce("component", "first").alias("component_id"))
-    return marked.join(known, "fp").select(
+    joined = classes.join(named.join(least, "root").select("fp", "root", "component"), "fp", "left")
+    return joined.select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component", "first").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fingerprint, component_id) per row; the component is the smallest doc_id reachable over links of at most 3 bits."""
+    marked = stored(fingerprints(docs, id_col, text_col))
+    return marked.join(components_of(marked), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The document with the smallest id of each group, with all its columns.
+    """One row of each group of near copies, with all its columns: the one with the smallest id, then fingerprint, then hash of the text,
+    then hash of all its columns (maps aside); rows without an id come last.
 
-    Of rows that share that id one stays. Rows without an id cannot be told apart and all stay.
+    Groups are those of the fingerprints, so rows that share an id but no text are judged apart. Of rows equal in everything one stays.
     """
-    first = near_duplicates(docs, id_col, text_col).groupBy("component_id").agg(F.min("doc_id").alias("_keep"))
-    keyed = docs.withColumn("_keep", F.col(id_col))
-    kept = keyed.join(first.filter("_keep is not null").select("_keep"), "_keep", "left_semi").dropDuplicates(["_keep"])
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return kept.select(*columns).union(keyed.filter("_keep is null").select(*columns))
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = pa.array([fingerprint(t or "") for t in part.column("row").field(text_col).to_pylist()], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("row"), found], names=["row", "fp"])
+
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = stored(whole.mapInArrow(run, StructType([*whole.schema.fields, StructField("fp", LongType())])).withColumn("nth", F.monotonically_increasing_id()))
+    text, own = F.col(f"row.`{text_col}`"), F.col(f"row.`{id_col}`")
+    plain = [F.col(f"row.`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    order = F.struct(own.isNull().alias("lacking"), own.alias("own"), "fp", F.xxhash64(text).alias("text"), F.xxhash64(*plain).alias("all"), "nth")
+    roots = components_of(rows.select(own.alias("doc_id"), "fp")).select("fp", "root")
+    first = rows.select("fp", order.alias("order")).join(roots, "fp").groupBy("root").agg(F.min("order").alias("least"))
+    return rows.join(first.select(F.col("least.nth").alias("nth")), "nth", "left_semi").select("row.*")
