@@ -98,6 +98,7 @@ register(
 )
 register("wavelet_power", lambda s, d: out(V.scale_power(series(s, d)), ("scale",), keys=("symbol",), avg_power=5))
 register("wavelet_scales", lambda s, d: out(V.dominant_scales(cut(V.scale_power(series(s, d)))), ("scale",), keys=("symbol",), avg_power=5))
+register("wavelet_strongest", lambda s, d: out(V.strongest_scales(series(s, d)), ("rn", "scale"), keys=("symbol",), power=5))
 
 
 def _states(s, d):

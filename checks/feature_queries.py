@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from checks.fixtures import ATR_SQL, BASE_SQL, SYM, back, full, out, placed, r, span
 from tidemark.operators import features as X
 from tidemark.operators.frame import core_rows, with_halo
 from tidemark.operators.quality import with_returns_and_range
+from tidemark.session import ensure_checkpoint_dir
+from tidemark.sources import store
 
 QUERIES, SQL = {}, {}
 WINDOWS = (3, 5, 10, 20, 40, 80)
@@ -49,6 +53,21 @@ per_window(
     "price_to_sma", X.price, ["price_to_sma_{w}"],
     [lambda w: f"(close - ({full('close', w, f'avg(close) OVER {back(w)}', half(w))})) / (atr + 1e-8)"], source="ranged", ctes=ATR_SQL,
 )
+
+
+def _stored(s, d):
+    """The same values for a range of dates, from bars stored by year and bucketed by shard."""
+    ensure_checkpoint_dir(s)
+    name = f"bars_{uuid.uuid4().hex}"
+    store.store_bars(placed(s, d), name, s.sparkContext.getCheckpointDir(), before=81, buckets=8)
+    found = X.price(X.base(store.read_framed(s, name, "1996-01-01", "1997-06-30", before=81)))
+    return out(core_rows(found), **{f"price_to_sma_{w}": 6 for w in WINDOWS})
+
+
+register(
+    "stored_price_to_sma", _stored,
+    f"SELECT * FROM ({SQL['price_to_sma']}) WHERE CAST(ts AS TIMESTAMP) BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1997-06-30'",
+)
 per_window("high_low_range", X.price, ["high_low_range_{w}"], [lambda w: f"(({hi(w)}) - ({lo(w)})) / close"])
 per_window(
     "range_expansion", X.price, ["range_expansion_{w}"], [lambda w: f"rng / (({full('rng', w, f'avg(rng) OVER {back(w)}')}) + 1e-8)"]

@@ -89,6 +89,24 @@ def test_wavelet_power_does_not_depend_on_shards(spark):
     assert abs(power.loc[power.avg_power.idxmax(), "scale"] - 16) <= 1
 
 
+def test_wavelet_equals_direct_convolution(spark):
+    v = np.random.default_rng(6).normal(0, 1, 500).cumsum() + 100
+    scales = (1, 2, 3, 10, 33, 60)
+    config = CycleConfig(scales=scales)
+
+    def direct(s):
+        full = np.convolve(v, V.kernel(s))[1:-1]
+        spare = (len(full) - len(v)) / 2
+        return full[int(np.floor(spare)):len(full) - int(np.ceil(spare))] ** 2
+
+    want = np.array([direct(s) for s in scales])
+    got = V.scale_power(table(spark, v), config, size=90).orderBy("scale").toPandas()
+    np.testing.assert_allclose(got.avg_power, want.mean(1), rtol=1e-9)
+    rows = V.strongest_scales(table(spark, v), config, size=90).orderBy("rn").toPandas()
+    assert list(rows.rn) == list(range(1, 501)) and list(rows.scale) == [scales[i] for i in want.argmax(0)]
+    np.testing.assert_allclose(rows.power, want.max(0), rtol=1e-9)
+
+
 def test_hidden_states_long_and_short_paths_agree(bars):
     df, _ = bars
     placed = cut(position(df.filter("symbol = 'X'")))

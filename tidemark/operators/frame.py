@@ -178,37 +178,42 @@ def ema(df: DataFrame, source: str, spans: dict[str, int], needed: dict[str, int
 
     Inside a block of 64 rows the recursion is a weighted running sum. The last value of
     a block reaches later blocks with weight (1-a)^64 per block; terms below 1e-18 are
-    dropped, so each block feeds a fixed number of followers.
+    dropped, so each block feeds a fixed number of followers. The first value counts whole: what it lacks beside the
+    others is added to its block's end. It is found among the block ends, so rows meet only their own block's few numbers.
     """
     needed = needed or {}
-    pos = (F.col("rn") - 1) % block
-    starts = df.filter(F.col(source).isNotNull()).groupBy("symbol").agg(F.min("rn").alias("_start"))
-    base = df.join(starts, "symbol", "left").withColumn("_blk", F.floor((F.col("rn") - 1) / block)).withColumn("_pos", pos)
+    x, rn = F.col(source), F.col("rn")
+    base = df.withColumn("_blk", F.floor((rn - 1) / block)).withColumn("_pos", (rn - 1) % block)
     w = Window.partitionBy("symbol", "_blk").orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
-    local, ends, reach = [], [], 1
-    for name, span in spans.items():
-        a = 2.0 / (span + 1)
-        d = 1 - a
-        reach = max(reach, int(42 / (block * a)) + 1)
-        term = F.when(F.col("rn") == F.col("_start"), F.col(source)).otherwise(F.col(source) * a)
-        local.append((F.sum(term * F.pow(F.lit(d), -F.col("_pos"))).over(w) * F.pow(F.lit(d), F.col("_pos"))).alias(f"_l_{name}"))
-        ends.append(F.sum(term * F.pow(F.lit(d), block - 1 - F.col("_pos"))).alias(f"_e_{name}"))
-    steps = F.explode(F.sequence(F.lit(1), F.lit(reach)))
+    share = {name: 2.0 / (span + 1) for name, span in spans.items()}
+    reach = max(int(42 / (block * a)) + 1 for a in share.values())
+    local = [(F.sum(x * a * F.pow(F.lit(1 - a), -F.col("_pos"))).over(w) * F.pow(F.lit(1 - a), F.col("_pos"))).alias(f"_l_{n}") for n, a in share.items()]
+    ends = base.groupBy("symbol", "_blk").agg(
+        F.min(F.when(x.isNotNull(), F.struct(rn.alias("rn"), x.alias("x")))).alias("_first"),
+        *[F.sum(x * a * F.pow(F.lit(1 - a), block - 1 - F.col("_pos"))).alias(f"_e_{n}") for n, a in share.items()])
+    starts = ends.groupBy("symbol").agg(F.min("_first").alias("_start"))
+    own = F.col("_start.rn") == F.col("_first.rn")
+
+    def whole(a: float, at: Column) -> Column:
+        """What the first value adds to the mean at row ``at`` beyond its share."""
+        return F.col("_start.x") * (1 - a) * F.pow(F.lit(1 - a), at - F.col("_start.rn"))
+
+    last = (F.col("_blk") + 1) * block
+    full = ends.join(starts, "symbol").select("symbol", "_blk", "_start", *[
+        (F.coalesce(f"_e_{n}", F.lit(0.0)) + F.when(own, whole(a, last)).otherwise(0.0)).alias(f"_e_{n}") for n, a in share.items()])
     carried = (
-        base.groupBy("symbol", "_blk").agg(*ends)
-        .withColumn("_step", steps)
+        full.withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(reach))))
         .groupBy("symbol", (F.col("_blk") + F.col("_step")).alias("_blk"))
-        .agg(*[
-            F.sum(F.col(f"_e_{n}") * F.pow(F.lit(1 - 2.0 / (s + 1)), block * (F.col("_step") - 1))).alias(f"_c_{n}")
-            for n, s in spans.items()
-        ])
+        .agg(F.max("_start").alias("_start"), *[
+            F.sum(F.when(F.col("_step") > 0, F.col(f"_e_{n}") * F.pow(F.lit(1 - a), block * (F.col("_step") - 1)))).alias(f"_c_{n}") for n, a in share.items()])
     )
-    joined = base.select("*", *local).join(carried, ["symbol", "_blk"], "left")
+    joined = base.select("*", *local).join(carried, ["symbol", "_blk"])
+    started = F.floor((F.col("_start.rn") - 1) / block) == F.col("_blk")
     out = []
-    for name, span in spans.items():
-        carry = F.coalesce(F.col(f"_c_{name}"), F.lit(0.0))
-        y = F.coalesce(f"_l_{name}", F.lit(0.0)) + F.pow(F.lit(1 - 2.0 / (span + 1)), F.col("_pos") + 1) * carry
-        out.append(F.when(F.col("rn") - F.col("_start") >= needed.get(name, 1) - 1, y).alias(name))
+    for name, a in share.items():
+        carry = F.coalesce(F.col(f"_c_{name}"), F.lit(0.0)) * F.pow(F.lit(1 - a), F.col("_pos") + 1)
+        y = F.coalesce(f"_l_{name}", F.lit(0.0)) + carry + F.when(started, whole(a, rn)).otherwise(0.0)
+        out.append(F.when(rn - F.col("_start.rn") >= needed.get(name, 1) - 1, y).alias(name))
     return joined.select(*df.columns, *out)
 
 

@@ -16,6 +16,7 @@ from tidemark.operators.frame import SIZE, core_rows, grouped_quantile, with_hal
 from tidemark.session import cut, side_by_side
 
 CLASS = "class_"  # how the probability columns of one class against the rest begin
+PART_ROWS = 1024
 CUT = 10  # rounds of boosting between two writes of the margins
 
 
@@ -111,8 +112,11 @@ def best_count(errors: list[float], config: ModelConfig = ModelConfig()) -> tupl
 
 
 def dealt(rows: DataFrame) -> DataFrame:
-    """Rows to fit on, stored: as many parts as shuffles have, dealt and sorted by their content, so that reruns agree."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Rows to fit on, stored: dealt and sorted by their content, so that reruns agree, in parts of about ``PART_ROWS`` rows, at most as many as shuffles have.
+
+    A round of boosting is some twenty short stages, so on a small table the tasks themselves are the cost.
+    """
+    parts = max(1, min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // PART_ROWS))
     narrow = rows.select("features", "label", "weight", "is_validation").withColumn("_h", F.xxhash64(vector_to_array("features"), "label"))
     return cut(narrow.repartition(parts, "_h").sortWithinPartitions("_h").drop("_h"))
 
