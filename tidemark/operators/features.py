@@ -406,15 +406,20 @@ def return_zscore(w: int) -> Column:
     return enough(x, w, (x - F.avg(x).over(frame)) / (F.stddev_samp(x).over(frame) + EPS))
 
 
+def narrow_rows(positioned: DataFrame, config: FeatureConfig = FeatureConfig(), size: int = SIZE) -> DataFrame:
+    """The base columns with log return and its z-score, which the scans read."""
+    framed = with_halo(positioned, before=config.shape_window + 1, size=size)
+    framed = with_returns_and_range(framed).withColumn("return_zscore", return_zscore(config.shape_window))
+    return core_rows(framed).drop("true_range")
+
+
 def scans(positioned: DataFrame, config: FeatureConfig = FeatureConfig(), size: int = SIZE) -> DataFrame:
     """Whole-series features on the few base columns, before anything is widened.
 
     Scans and per-series statistics read their input more than once. Doing them first, on a
     stored narrow table, keeps the wide rolling plan a single pass.
     """
-    framed = with_halo(positioned, before=config.shape_window + 1, size=size)
-    framed = with_returns_and_range(framed).withColumn("return_zscore", return_zscore(config.shape_window))
-    narrow = cut(core_rows(framed).drop("true_range"))
+    narrow = cut(narrow_rows(positioned, config, size))
     out = macd(exponential(streaks(narrow, size), config, MACD_SPANS))
     if config.use_shapes and config.sax_bins > 0:
         out = out.join(sax_extremes(narrow), "symbol").withColumn("sax_symbol", sax_symbol(config.sax_bins)).drop("_lo", "_hi")
@@ -439,11 +444,15 @@ def bounded_features(framed: DataFrame, config: FeatureConfig = FeatureConfig())
 
 def features(positioned: DataFrame, config: FeatureConfig = FeatureConfig(), size: int = SIZE) -> DataFrame:
     """All feature columns for clean rows with ``rn`` and ``n``."""
-    warmup = max(WARMUP, 2 * max(config.windows) + 1)
-    framed = with_halo(scans(positioned, config, size), before=warmup, after=5, size=size)
+    framed = with_halo(scans(positioned, config, size), before=warmup(config), after=5, size=size)
     return core_rows(bounded_features(framed, config))
 
 
+def warmup(config: FeatureConfig = FeatureConfig()) -> int:
+    """How many earlier rows the bounded features of a row look at."""
+    return max(WARMUP, 2 * max(config.windows) + 1)
+
+
 def feature_names(config: FeatureConfig = FeatureConfig()) -> list[str]:
     """The model's columns. Labels and look-ahead events are not in it and cannot get in."""
     names: list[str] = ["day_of_week", "month", "quarter", "day_of_month", "week_of_year"]

@@ -170,9 +170,11 @@ def streak(df: DataFrame, folds: dict[str, Column], size: int = SIZE, keys: tupl
     )
 
 
-def ema(df: DataFrame, source: str, spans: dict[str, int], needed: dict[str, int] | None = None, block: int = 64) -> DataFrame:
+def ema(df: DataFrame, source: str | dict[str, str], spans: dict[str, int], needed: dict[str, int] | None = None, block: int = 64) -> DataFrame:
     """Recursive exponential means, y = (1-a)*y' + a*x with y0 = x0, as a blocked scan.
 
+    ``source`` is one column, or one for each mean; these must then be null in the same rows.
+
     A series starts at its first row with a value; rows before it have none. A later null adds nothing and
     the mean goes on to decay; fill gaps first where that matters.
 
@@ -182,25 +184,28 @@ def ema(df: DataFrame, source: str, spans: dict[str, int], needed: dict[str, int
     others is added to its block's end. It is found among the block ends, so rows meet only their own block's few numbers.
     """
     needed = needed or {}
-    x, rn = F.col(source), F.col("rn")
+    rn = F.col("rn")
+    sources = {name: source if isinstance(source, str) else source[name] for name in spans}
+    fields = {c: f"x{i}" for i, c in enumerate(dict.fromkeys(sources.values()))}
     base = df.withColumn("_blk", F.floor((rn - 1) / block)).withColumn("_pos", (rn - 1) % block)
     w = Window.partitionBy("symbol", "_blk").orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
     share = {name: 2.0 / (span + 1) for name, span in spans.items()}
     reach = max(int(42 / (block * a)) + 1 for a in share.values())
-    local = [(F.sum(x * a * F.pow(F.lit(1 - a), -F.col("_pos"))).over(w) * F.pow(F.lit(1 - a), F.col("_pos"))).alias(f"_l_{n}") for n, a in share.items()]
+    local = [(F.sum(F.col(sources[n]) * a * F.pow(F.lit(1 - a), -F.col("_pos"))).over(w) * F.pow(F.lit(1 - a), F.col("_pos"))).alias(f"_l_{n}") for n, a in share.items()]
+    known = F.col(next(iter(fields))).isNotNull()
     ends = base.groupBy("symbol", "_blk").agg(
-        F.min(F.when(x.isNotNull(), F.struct(rn.alias("rn"), x.alias("x")))).alias("_first"),
-        *[F.sum(x * a * F.pow(F.lit(1 - a), block - 1 - F.col("_pos"))).alias(f"_e_{n}") for n, a in share.items()])
+        F.min(F.when(known, F.struct(rn.alias("rn"), *[F.col(c).alias(f) for c, f in fields.items()]))).alias("_first"),
+        *[F.sum(F.col(sources[n]) * a * F.pow(F.lit(1 - a), block - 1 - F.col("_pos"))).alias(f"_e_{n}") for n, a in share.items()])
     starts = ends.groupBy("symbol").agg(F.min("_first").alias("_start"))
     own = F.col("_start.rn") == F.col("_first.rn")
 
-    def whole(a: float, at: Column) -> Column:
-        """What the first value adds to the mean at row ``at`` beyond its share."""
-        return F.col("_start.x") * (1 - a) * F.pow(F.lit(1 - a), at - F.col("_start.rn"))
+    def whole(n: str, at: Column) -> Column:
+        """What the first value adds to the mean ``n`` at row ``at`` beyond its share."""
+        return F.col(f"_start.{fields[sources[n]]}") * (1 - share[n]) * F.pow(F.lit(1 - share[n]), at - F.col("_start.rn"))
 
     last = (F.col("_blk") + 1) * block
     full = ends.join(starts, "symbol").select("symbol", "_blk", "_start", *[
-        (F.coalesce(f"_e_{n}", F.lit(0.0)) + F.when(own, whole(a, last)).otherwise(0.0)).alias(f"_e_{n}") for n, a in share.items()])
+        (F.coalesce(f"_e_{n}", F.lit(0.0)) + F.when(own, whole(n, last)).otherwise(0.0)).alias(f"_e_{n}") for n in share])
     carried = (
         full.withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(reach))))
         .groupBy("symbol", (F.col("_blk") + F.col("_step")).alias("_blk"))
@@ -212,7 +217,7 @@ def ema(df: DataFrame, source: str, spans: dict[str, int], needed: dict[str, int
     out = []
     for name, a in share.items():
         carry = F.coalesce(F.col(f"_c_{name}"), F.lit(0.0)) * F.pow(F.lit(1 - a), F.col("_pos") + 1)
-        y = F.coalesce(f"_l_{name}", F.lit(0.0)) + carry + F.when(started, whole(a, rn)).otherwise(0.0)
+        y = F.coalesce(f"_l_{name}", F.lit(0.0)) + carry + F.when(started, whole(name, rn)).otherwise(0.0)
         out.append(F.when(rn - F.col("_start.rn") >= needed.get(name, 1) - 1, y).alias(name))
     return joined.select(*df.columns, *out)
 
