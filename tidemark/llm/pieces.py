@@ -77,8 +77,8 @@ class Segmenter:
         self.starts = Memo(self._beginnings, 1 << 15)
         self.ends = Memo(lambda piece: [piece[i:] for i in range(len(piece))], 1 << 15)
         self.beside = {pair for p in pieces for pair in zip(p, p[1:])}
-        self.packed = Memo(lambda span: b"".join(map(self.parts.__getitem__, self._split(span))), 1 << 16)
-        self.parts = Memo(lambda part: array("i", self.segment(part)).tobytes(), 1 << 17)
+        self.packed = Memo(lambda span: b"".join(map(self.parts.__getitem__, self._split(span))), 1 << 17)
+        self.parts = Memo(lambda part: array("i", self.segment(part)).tobytes(), 1 << 18)
 
     def _sizes(self, tail: str) -> tuple[int, ...]:
         """How long pieces may be that end in the (up to) ``TAIL`` characters, longest first; those beyond ``TAIL`` need a look."""
@@ -120,36 +120,52 @@ class Segmenter:
 
     def segment(self, text: str) -> list[int]:
         """Ids of a text, committed as soon as all surviving paths agree."""
+        step = self._stable_step if self.merges else self._best_step
         ids: list[int] = []
-        base, n, width, pieces, sizes, merges = 0, len(text), self.width, self.pieces, self.sizes, self.merges
-        followers = self.followers
+        base, n, width = 0, len(text), self.width
         last = [""]  # last[i]: the piece that ends at base + i
-        state = [followers[""] if merges else 0.0]  # what may follow there, or the score of the path
-        for end in range(1, n + 1):
-            piece, total, held = "", None, end - base
+        state = [self.followers[""] if self.merges else 0.0]  # what may follow there, or the score of the path
+        while base < n:
+            # up to the next place where the window is looked at
+            end = min(n, base + max(4 * width, len(last) - 1 + width))
+            step(text, base, base + len(last), end + 1, last, state)
+            if end == n:
+                break
+            at = self._meeting(last, end - base)
+            if at:
+                ids += self._trace(last, at)
+                self.commits += 1
+                last, state, base = last[at:], state[at:] if self.merges else [s - state[at] for s in state[at:]], base + at
+        return ids + self._trace(last, n - base)
+
+    def _stable_step(self, text: str, base: int, first: int, stop: int, last: list[str], state: list[Memo]) -> None:
+        """Backpointers of the places from ``first`` to ``stop`` of a merge model: the one piece that is stable after what ends where it starts."""
+        sizes, pieces, followers = self.sizes, self.pieces, self.followers
+        add_last, add_state = last.append, state.append
+        for end in range(first, stop):
+            held = end - base
             for size in sizes[text[end - TAIL if held > TAIL else base:end]]:
-                if size > held:
-                    continue
-                here = text[end - size:end]
-                if size > TAIL and here not in pieces:
-                    continue
-                if merges:
-                    if state[held - size][here]:
-                        piece, total = here, followers[here]
+                if size <= held:
+                    here = text[end - size:end]
+                    if (size <= TAIL or here in pieces) and state[held - size][here]:
+                        add_last(here)
+                        add_state(followers[here])
                         break
-                else:
-                    s = state[held - size] + (pieces[here][1] if here in pieces else self.floor)
+
+    def _best_step(self, text: str, base: int, first: int, stop: int, last: list[str], state: list[float]) -> None:
+        """Backpointers and scores of the places from ``first`` to ``stop`` of a unigram model: the piece on the path with the largest sum."""
+        sizes, pieces, floor = self.sizes, self.pieces, self.floor
+        for end in range(first, stop):
+            held = end - base
+            piece, total = "", None
+            for size in sizes[text[end - TAIL if held > TAIL else base:end]]:
+                here = text[end - size:end]
+                if size <= held and (size <= TAIL or here in pieces):
+                    s = state[held - size] + (pieces[here][1] if here in pieces else floor)
                     if total is None or s > total:
                         piece, total = here, s
             last.append(piece)
             state.append(total)
-            if held >= 4 * width and end < n and held % width == 0:
-                at = self._meeting(last, held)
-                if at:
-                    ids += self._trace(last, at)
-                    self.commits += 1
-                    last, state, base = last[at:], state[at:] if merges else [s - state[at] for s in state[at:]], base + at
-        return ids + self._trace(last, n - base)
 
     def _split(self, span: str) -> list[str]:
         """``span`` cut between characters that stand side by side in no piece: there, too, all paths meet."""
