@@ -13,7 +13,7 @@ from tidemark.session import cut
 
 #: Families whose SQL compares fewer than six digits.
 DIGITS = {"volume_zscore": 5, "rsi": 4, "stoch": 5, "risk_adjusted_return": 5}
-FEATURES = [feature_queries.SQL[q] for q in feature_queries.SQL] + [quality_queries.SQL[q] for q in ("atr", "calendar")]
+FEATURES = [feature_queries.SQL[q] for q in feature_queries.SQL if not q.startswith("stored_")] + [quality_queries.SQL[q] for q in ("atr", "calendar")]
 LABELS = [
     label_queries.SQL[q]
     for q in (*[f"label_move_{h}d" for h in (3, 5, 10, 20)], "consolidation", "consolidation_breakout", "false_breakout",
