@@ -38,7 +38,7 @@ def register(name, query, sql=None):
 
 
 #: Models of the registered queries: the defaults, but this many trees at most, as one query must end within a few minutes on one machine.
-QUERY = replace(DEFAULT, models=replace(DEFAULT.models, trees=20))
+QUERY = replace(DEFAULT, models=replace(DEFAULT.models, trees=12))
 
 
 def once(kind, s, d, make):

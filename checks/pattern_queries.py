@@ -142,10 +142,10 @@ register(
 )
 
 
-def _similar(s, d, method):
+def _similar(s, d, method, band=None):
     w = cut(wins(s, d))
     shape = list(w.filter("symbol = 'A' AND rn = 100").select("raw").first()["raw"])
-    return out(P.similar(w, shape, 10, method), ("rn", "rank"), distance=6)
+    return out(P.similar(w, shape, 10, method, band), ("rn", "rank"), distance=6)
 
 
 register(
@@ -156,6 +156,7 @@ register(
     QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY distance, rn) <= 10""",
 )
 register("similar_shapes_dtw", lambda s, d: _similar(s, d, "dtw"))
+register("similar_shapes_dtw_band", lambda s, d: _similar(s, d, "dtw", 3))
 
 
 def _library(s, d):

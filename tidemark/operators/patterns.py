@@ -284,8 +284,8 @@ def summary(stats: DataFrame, shapes: DataFrame) -> DataFrame:
     )
 
 
-def dtw(pattern: list[float]):
-    """Column function: unconstrained dynamic time warping distance to ``pattern``.
+def dtw(pattern: list[float], band: int | None = None):
+    """Column function: dynamic time warping distance to ``pattern``; with ``band`` only places at most that far apart are matched.
 
     The recurrence runs once per cell for a whole Arrow batch of windows.
     """
@@ -296,31 +296,77 @@ def dtw(pattern: list[float]):
             return pd.Series([], dtype="float64")
         a = np.vstack(z.values)
         b = np.asarray(pattern, dtype=float)
+        reach = max(a.shape[1], len(b)) if band is None else max(band, abs(a.shape[1] - len(b)))
         previous = np.full((len(a), len(b) + 1), np.inf)
         previous[:, 0] = 0.0
         for i in range(a.shape[1]):
             current = np.full_like(previous, np.inf)
-            for j in range(len(b)):
+            for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
                 step = np.minimum(np.minimum(previous[:, j + 1], current[:, j]), previous[:, j])
                 current[:, j + 1] = np.abs(a[:, i] - b[j]) + step
+            if i == 0:
+                previous[:, 0] = np.inf
             previous = current
         return pd.Series(previous[:, -1])
 
     return measure
 
 
+def envelope(pattern: list[float], band: int | None) -> tuple[list[float], list[float]]:
+    """The smallest and the largest value of ``pattern`` that each place may be matched with."""
+    reach = len(pattern) if band is None else band
+    near = [pattern[max(0, i - reach):i + reach + 1] for i in range(len(pattern))]
+    return [min(x) for x in near], [max(x) for x in near]
+
+
+def warped_bound(z: Column, pattern: list[float], band: int | None) -> Column:
+    """Never above the warping distance: ends meet ends, and every other value lies at least its distance to the envelope away.
+
+    Built-in functions only. Without a band the envelope is the pattern's whole range, so windows of any length may be compared.
+    """
+    low, high = envelope(pattern, band)
+    if band is None:
+        lo, hi = F.lit(low[0]), F.lit(high[0])
+        gaps = F.transform(z, lambda x: F.greatest(F.lit(0.0), x - hi, lo - x))
+    else:
+        lows, highs = (F.array(*[F.lit(v) for v in side]) for side in (low, high))
+        gaps = F.transform(z, lambda x, i: F.greatest(F.lit(0.0), x - F.get(highs, i), F.get(lows, i) - x))
+    inner = F.aggregate(F.slice(gaps, F.lit(2), F.greatest(F.size(z) - 2, F.lit(0))), F.lit(0.0), lambda s, x: s + x)
+    ends = F.abs(F.get(z, F.lit(0)) - pattern[0]) + F.abs(F.get(z, F.size(z) - 1) - pattern[-1])
+    return F.when((F.size(z) > 1) & F.lit(len(pattern) > 1), inner + ends).otherwise(F.lit(0.0))
+
+
+def warped_candidates(wins: DataFrame, pattern: list[float], k: int, band: int | None = None, salts: int = 64) -> DataFrame:
+    """The windows whose bound does not exclude them from the ``k`` nearest of their symbol.
+
+    The ``k`` windows with the smallest bounds are measured first; no window whose bound is above the largest of their
+    distances can be nearer. That limit meets the windows by (symbol, salt), so a long series stays spread.
+    """
+    bounded = cut(wins.select("symbol", "ts", "rn", "z").withColumn("_bound", warped_bound(F.col("z"), pattern, band)))
+    first = Window.partitionBy("symbol").orderBy("_bound", "rn")
+    seeds = bounded.withColumn("_nth", F.row_number().over(first)).filter(F.col("_nth") <= k)
+    limits = seeds.withColumn("_d", dtw(pattern, band)("z")).groupBy("symbol").agg(
+        F.when(F.count("_d") == k, F.max("_d") * (1 + 1e-12)).otherwise(float("inf")).alias("_limit"))
+    spread = limits.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    met = bounded.withColumn("_salt", F.pmod("rn", F.lit(salts)).cast("int")).join(spread, ["symbol", "_salt"])
+    return met.filter(F.col("_bound") <= F.col("_limit")).drop("_bound", "_limit", "_salt")
+
+
 def normalized_template(values: list[float]) -> list[float]:
     x = np.asarray(values, dtype=float)
     return ((x - x.mean()) / (x.std() + EPS)).tolist()
 
 
-def similar(wins: DataFrame, template: list[float], k: int = 10, method: str = "euclidean") -> DataFrame:
-    """The ``k`` windows per symbol closest to ``template``, nearest first."""
+def similar(wins: DataFrame, template: list[float], k: int = 10, method: str = "euclidean", band: int | None = None) -> DataFrame:
+    """The ``k`` windows per symbol closest to ``template``, nearest first.
+
+    ``band`` limits warping to places that far apart; it needs windows as long as the template.
+    """
     pattern = normalized_template(template)
     if method == "euclidean":
         d = distance(F.col("z"), F.array(*[F.lit(x) for x in pattern]))
     elif method == "dtw":
-        d = dtw(pattern)("z")
+        wins, d = warped_candidates(wins, pattern, k, band), dtw(pattern, band)("z")
     else:
         raise ValueError(f"unknown method {method}")
     w = Window.partitionBy("symbol").orderBy("distance", "rn")
