@@ -322,7 +322,8 @@ def envelope(pattern: list[float], band: int | None) -> tuple[list[float], list[
 def warped_bound(z: Column, pattern: list[float], band: int | None) -> Column:
     """Never above the warping distance: ends meet ends, and every other value lies at least its distance to the envelope away.
 
-    Built-in functions only. Without a band the envelope is the pattern's whole range, so windows of any length may be compared.
+    Built-in functions only. Without a band the envelope is the pattern's whole range, so windows of any length may be compared; each value of the
+    pattern then lies as far from the window's range, too, and the larger of both sums counts. On noise this excludes little; a band does.
     """
     low, high = envelope(pattern, band)
     if band is None:
@@ -332,6 +333,10 @@ def warped_bound(z: Column, pattern: list[float], band: int | None) -> Column:
         lows, highs = (F.array(*[F.lit(v) for v in side]) for side in (low, high))
         gaps = F.transform(z, lambda x, i: F.greatest(F.lit(0.0), x - F.get(highs, i), F.get(lows, i) - x))
     inner = F.aggregate(F.slice(gaps, F.lit(2), F.greatest(F.size(z) - 2, F.lit(0))), F.lit(0.0), lambda s, x: s + x)
+    if band is None:
+        least, most = F.array_min(z), F.array_max(z)
+        far = F.transform(F.array(*[F.lit(v) for v in pattern[1:-1] or pattern[:1]]), lambda v: F.greatest(F.lit(0.0), v - most, least - v))
+        inner = F.greatest(inner, F.aggregate(far, F.lit(0.0), lambda s, x: s + x) if len(pattern) > 2 else F.lit(0.0))
     ends = F.abs(F.get(z, F.lit(0)) - pattern[0]) + F.abs(F.get(z, F.size(z) - 1) - pattern[-1])
     return F.when((F.size(z) > 1) & F.lit(len(pattern) > 1), inner + ends).otherwise(F.lit(0.0))
 
