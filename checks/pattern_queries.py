@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.fixtures import BARS_SQL, SYM, out, placed, r, span
 from tidemark.config import PatternConfig
-from tidemark.operators import patterns as P
+from tidemark.operators import hierarchy as H, patterns as P
 from tidemark.session import cut
 
 QUERIES, SQL = {}, {}
@@ -64,6 +64,10 @@ register(
     "density_clusters",
     lambda s, d: P.density_labels(wins(s, d), M).groupBy("symbol", "label").agg(F.count(F.lit(1)).alias("size")),
 )
+register(
+    "density_hierarchy",
+    lambda s, d: H.hierarchy_labels(wins(s, d), M).groupBy("symbol", "label").agg(F.count(F.lit(1)).alias("size"), F.round(F.max("stability"), 6).alias("stability")),
+)
 
 
 def _tagged(w):

@@ -104,26 +104,26 @@ def _with_radius(df: DataFrame, k: int, apart: int) -> DataFrame:
     return ordered.mapInPandas(bound, schema)
 
 
-def nearest(windows: DataFrame, m: int, k: int = 1, apart: int = 0) -> DataFrame:
-    """``windows`` (symbol, rn, z) to (symbol, rn, neighbours: k structs of distance and rn).
-
-    ``apart`` is the exclusion zone: neighbours start more than that many rows away.
-    """
-    points = cut(_with_radius(signature(windows.select("symbol", "rn", "z"), m), k, apart))
-    # Cells of about CELL_ROWS / 2 rows of each series; |signature| <= sqrt(m).
+def celled(points: DataFrame, m: int) -> DataFrame:
+    """Signature cells of about CELL_ROWS / 2 rows of each series; |signature| <= sqrt(m)."""
     count = F.count(F.lit(1)) * 2 / CELL_ROWS
     edges = points.groupBy("symbol").agg(F.greatest(F.lit(1.0), F.round(F.cbrt(count) / 2)).cast("long").alias("_edge"))
     points = points.join(edges, "symbol").withColumn("_width", float(np.sqrt(m)) * (1 + 1e-9) / F.col("_edge"))
+    return points.withColumn("cell", _code(*[F.floor(F.col(c) / F.col("_width")) for c in ("q0", "q1", "q2")]))
+
+
+def _code(x: Column, y: Column, z: Column) -> Column:
+    edge = F.col("_edge")
+    return ((x + edge) * (2 * edge) + (y + edge)) * (2 * edge) + (z + edge)
+
+
+def asking(points: DataFrame, keep: list[str]) -> DataFrame:
+    """Celled points with ``radius``, once for each cell whose box lies within it."""
     edge, width = F.col("_edge"), F.col("_width")
 
     def index(c: str | Column) -> Column:
         return F.floor((F.col(c) if isinstance(c, str) else c) / width)
 
-    def code(x: Column, y: Column, z: Column) -> Column:
-        return ((x + edge) * (2 * edge) + (y + edge)) * (2 * edge) + (z + edge)
-
-    points = points.withColumn("cell", code(index("q0"), index("q1"), index("q2")))
-
     def span(c: str) -> Column:
         low = F.greatest(-edge, index(F.col(c) - F.col("radius")))
         high = F.least(edge - 1, index(F.col(c) + F.col("radius")))
@@ -140,7 +140,14 @@ def nearest(windows: DataFrame, m: int, k: int = 1, apart: int = 0) -> DataFrame
         asks = asks.withColumn(i, F.explode(span(c)))
     reachable = sum((gap(c, i) * gap(c, i) for c, i in (("q0", "_i"), ("q1", "_j"), ("q2", "_k"))), F.lit(0.0))
     asks = asks.filter(F.sqrt(reachable) <= F.col("radius") + 1e-9)
-    asks = asks.select("symbol", "rn", "z", "radius", code(F.col("_i"), F.col("_j"), F.col("_k")).alias("cell"))
+    return asks.select("symbol", *keep, _code(F.col("_i"), F.col("_j"), F.col("_k")).alias("cell"))
+
+
+TILE = ["symbol", "cell", "_b", "_q"]
+
+
+def tiled(asks: DataFrame, points: DataFrame, asked: list[str], held: list[str]):
+    """Askers and members of each cell, grouped by tiles of bounded size for a cogroup; member columns end in ``_r``."""
     members = points.groupBy("symbol", "cell").agg(F.count(F.lit(1)).alias("_members"))
     demand = asks.groupBy("symbol", "cell").agg(F.count(F.lit(1)).alias("_asks"))
     plan = cut(
@@ -149,19 +156,28 @@ def nearest(windows: DataFrame, m: int, k: int = 1, apart: int = 0) -> DataFrame
             F.ceil(F.col("_members") / CELL_ROWS).alias("_nb"), F.ceil(F.col("_asks") / TILE_QUERIES).alias("_nq"),
         )
     )
-    keys = ["symbol", "cell", "_b", "_q"]
     left = (
         asks.join(plan, ["symbol", "cell"])
         .withColumn("_q", F.pmod(F.xxhash64("rn"), F.col("_nq")))
         .withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nb") - 1)))
-        .select(*keys, "rn", "z", "radius")
+        .select(*TILE, *asked)
     )
     right = (
         points.join(plan, ["symbol", "cell"])
         .withColumn("_b", F.pmod(F.xxhash64("rn"), F.col("_nb")))
         .withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nq") - 1)))
-        .select(*[F.col(c).alias(f"{c}_r") for c in (*keys, "rn", "z")])
+        .select(*[F.col(c).alias(f"{c}_r") for c in (*TILE, *held)])
     )
+    return left.groupBy(*TILE), right.groupBy(*[f"{c}_r" for c in TILE])
+
+
+def nearest(windows: DataFrame, m: int, k: int = 1, apart: int = 0) -> DataFrame:
+    """``windows`` (symbol, rn, z) to (symbol, rn, neighbours: k structs of distance and rn).
+
+    ``apart`` is the exclusion zone: neighbours start more than that many rows away.
+    """
+    points = celled(cut(_with_radius(signature(windows.select("symbol", "rn", "z"), m), k, apart)), m)
+    left, right = tiled(asking(points, ["rn", "z", "radius"]), points, ["rn", "z", "radius"], ["rn", "z"])
 
     def tile(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
@@ -174,9 +190,7 @@ def nearest(windows: DataFrame, m: int, k: int = 1, apart: int = 0) -> DataFrame
             {"symbol": key[0], "rn": a["rn"].values[rows], "distance": d[rows, cols], "other": w[rows, cols]}
         )
 
-    found = left.groupBy(*keys).cogroup(right.groupBy(*[f"{c}_r" for c in keys])).applyInPandas(
-        tile, "symbol string, rn long, distance double, other long"
-    )
+    found = left.cogroup(right).applyInPandas(tile, "symbol string, rn long, distance double, other long")
     pair = F.struct("distance", F.col("other").alias("rn"))
     if k == 1:
         return found.groupBy("symbol", "rn").agg(F.array(F.min(pair)).alias("neighbours"))
