@@ -33,3 +33,11 @@ def test_ticks_are_aggregated_once(spark):
     pd.testing.assert_series_equal(clean.open, pd.Series(want, name="open"))
     pd.testing.assert_series_equal(clean.close, pd.Series(want, name="close") + TICKS - 1)
     assert (clean.volume == TICKS).all() and clean.rn.tolist() == [*range(1, DAYS - 9)] * 2
+
+
+def test_ticks_are_sorted_by_time_first(spark):
+    bars = counted(spark, spark.sparkContext.accumulator(0))
+    assert bars.columns == ["symbol", "ts", "open", "high", "low", "close", "volume"]
+    plan = bars._jdf.queryExecution().executedPlan().toString()
+    sorts = [line.split("Sort [", 1)[1] for line in plan.splitlines() if "Sort [" in line]
+    assert sorts and all(s.startswith("ts#") for s in sorts)
